@@ -35,3 +35,7 @@ def op7_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {f.__name__: f for f in (op2_warc_zip, op5_simhash_pigeonhole, op6_byte_shards, op7_best_fit)}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {}
