@@ -33,8 +33,20 @@ def op7_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"))
 
 
+def op9_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import pii_digest
+
+    return pii_digest(_table(spark, sf_dir, "documents"))
+
+
+def op10_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import contaminated
+
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_warc_zip, op5_simhash_pigeonhole, op6_byte_shards, op7_best_fit)}
+    return {f.__name__: f for f in (op2_warc_zip, op5_simhash_pigeonhole, op6_byte_shards, op7_best_fit, op9_bootstrapped_pii, op10_spaced_seeds)}
 
 
 def oracle_sql() -> dict[str, str]:
