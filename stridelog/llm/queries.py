@@ -9,6 +9,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import classify
+
+    return classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op2_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import roundtrip
 
@@ -46,7 +52,7 @@ def op10_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_warc_zip, op5_simhash_pigeonhole, op6_byte_shards, op7_best_fit, op9_bootstrapped_pii, op10_spaced_seeds)}
+    return {f.__name__: f for f in (op1_ordinal_quality, op2_warc_zip, op5_simhash_pigeonhole, op6_byte_shards, op7_best_fit, op9_bootstrapped_pii, op10_spaced_seeds)}
 
 
 def oracle_sql() -> dict[str, str]:
