@@ -15,7 +15,10 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
+from unicodedata import is_normalized
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,10 +30,17 @@ _SPACE = re.compile("[\t-\r \x85\xa0" + "".join(map(chr, [0x1680, *range(0x2000,
 _ODD = re.compile("[\x1c-\x1f]")
 
 
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
 class IdBytes(dict):
-    """Word -> its ids as little-endian unsigned 32-bit. Emptied once it holds ``most`` words."""
+    """Run between white space -> its ids as little-endian unsigned 32-bit. Emptied once it holds ``most`` runs.
+
+    ``learn`` encodes many new runs at once: those that are letters with ASCII marks after them are encoded as the lower-case letters
+    and the marks apart (the tokenizer splits there too), and all new words of letters in one call, cut at the tokens that end a word.
+    """
 
-    def __init__(self, vocabulary: str, most: int = 400_000):
+    def __init__(self, vocabulary: str, most: int = 600_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -38,20 +48,56 @@ class IdBytes(dict):
 
         super().__init__()
         self.tokenizer, self.most = Tokenizer.from_str(vocabulary), most
+        self.letters: dict[str, bytes] = {}
+        n = self.tokenizer.get_vocab_size()
+        self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(n)])
 
-    def __missing__(self, word: str) -> bytes:
-        ids = b"".join(i.to_bytes(4, "little") for i in self.tokenizer.encode(word, add_special_tokens=False).ids)
-        if len(word) <= 64:
-            if len(self) >= self.most:
-                self.clear()
-            self[word] = ids
+    def one(self, run: str) -> bytes:
+        return np.array(self.tokenizer.encode(run, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def __missing__(self, run: str) -> bytes:
+        ids = self.one(run)
+        if len(run) <= 64:
+            self[run] = ids
         return ids
 
-    def encode(self, text: str) -> bytes:
-        words = _SPACE.split(text) if _ODD.search(text) else text.split()
+    def learn(self, runs: set[str]) -> None:
+        new = runs.difference(self)
+        if len(self) + len(new) > self.most:
+            self.clear()
+            new = runs
+        if len(self.letters) > self.most:
+            self.letters.clear()
+        split: dict[str, tuple[str, str]] = {}
+        for run in new:
+            core = run.rstrip(_MARKS)
+            if len(run) <= 64 and core.isalpha() and (core.isascii() or (is_normalized("NFC", core) and "\u03a3" not in core)):
+                low = core.lower()
+                if low.isalpha():
+                    split[run] = low, run[len(core) :]
+        fresh = list({low for low, _ in split.values()}.difference(self.letters))
+        for at in range(0, len(fresh), 50_000):
+            part = fresh[at : at + 50_000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            cut = np.flatnonzero(self.ends[ids]) + 1
+            if len(cut) == len(part):
+                raw, last = ids.tobytes(), 0
+                for w, e in zip(part, (4 * cut).tolist(), strict=True):
+                    self.letters[w], last = raw[last:e], e
+            else:
+                self.letters.update((w, self.one(w)) for w in part)
+        for run, (low, marks) in split.items():
+            ids = self.letters[low]
+            self[run] = ids + self[marks] if marks else ids
+
+    def encode(self, words: list[str]) -> bytes:
         return b"".join(map(self.__getitem__, words))
 
 
+def runs(text: str) -> list[str]:
+    return _SPACE.split(text) if _ODD.search(text) else text.split()
+
+
 class BestFit:
     """Online best-fit over ``space`` units with at most ``open_bins`` bins open."""
 
@@ -99,10 +145,12 @@ def token_pieces(docs: DataFrame, vocabulary: str, space: int = 4096, end_id: in
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = IdBytes(sent.value)
-        for batch in batches:
+        for batch in (b.slice(at, 1000) for b in batches for at in range(0, b.num_rows, 1000)):
             out: list[tuple] = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = words.encode(text.as_py() or "") + end
+            rows = [(doc_id, runs(text.as_py() or "")) for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True)]
+            words.learn(set(chain.from_iterable(own for _, own in rows)))
+            for doc_id, own in rows:
+                ids = words.encode(own) + end
                 for k, at in enumerate(range(0, len(ids), step)):
                     piece = ids[at : at + step]
                     out.append((doc_id, k, at // 4, len(piece) // 4, zlib.crc32(piece)))
