@@ -92,13 +92,12 @@ class Hashed(dict):
         return out if self.keep is None else {b: x for b, x in out.items() if b in self.keep}
 
 
-def fit(rows: list[tuple[int, float, list[int], list[float]]], grades: int, penalty: float = 1.0, steps: int = 300) -> tuple[np.ndarray, np.ndarray]:
-    """(weights, thresholds) from (grade, weight, columns, values): penalized likelihood, full-batch Adam."""
-    size = 1 + max((max(c, default=-1) for _, _, c, _ in rows), default=-1)
+def fit(rows: list[tuple[int, float, bytes, bytes]], grades: int, penalty: float = 1.0, steps: int = 300) -> tuple[np.ndarray, np.ndarray]:
+    """(weights, thresholds) from (grade, weight, columns as int32 bytes, values as float32 bytes): penalized likelihood, full-batch Adam."""
     y, sw = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], np.float64)
-    cols = np.concatenate([np.zeros(0, np.int64), *(np.array(r[2], np.int64) for r in rows)])
-    vals = np.concatenate([np.zeros(0), *(np.array(r[3], np.float64) for r in rows)])
-    owner = np.repeat(np.arange(len(rows)), [len(r[2]) for r in rows])
+    cols, vals = np.frombuffer(b"".join(r[2] for r in rows), np.int32), np.frombuffer(b"".join(r[3] for r in rows), np.float32)
+    owner = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r[2]) // 4 for r in rows])
+    size = 1 + int(cols.max(initial=-1))
     sw /= sw.sum()
     share = np.array([sw[y >= k].sum() for k in range(1, grades)])
     start = np.log((1 - share + 1e-3) / (share + 1e-3))
@@ -156,7 +155,7 @@ def sample_rated(docs: DataFrame, ratings: DataFrame, grades: int, per_grade: in
     return docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("id")).select("doc_id", "grade", "w", "text")
 
 
-def train(docs: DataFrame, ratings: DataFrame, grades: int = 3, per_grade: int = 5000, most_features: int = 30_000, least_rows: int = 8) -> Model:
+def train(docs: DataFrame, ratings: DataFrame, grades: int = 3, per_grade: int = 4000, most_features: int = 10_000, least_rows: int = 8) -> Model:
     """A model from ``docs`` (doc_id, text) and ``ratings`` (doc_id, grade 0 to ``grades`` - 1).
 
     With no rated row, or all of one grade, the model gives every text the best grade: nothing is known against any.
@@ -186,12 +185,12 @@ def train(docs: DataFrame, ratings: DataFrame, grades: int = 3, per_grade: int =
         keep = pickle.loads(sent.value)
         hashed = Hashed(keep)
         for batch in batches:
-            rows = [[(keep[b], x) for b, x in sorted(hashed.features(t.as_py() or "").items())] for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("grade"), batch.column("w"), pa.array([[k for k, _ in r] for r in rows], pa.list_(pa.int32())), pa.array([[x for _, x in r] for r in rows], pa.list_(pa.float64()))], names=["grade", "w", "cols", "vals"]
-            )
+            rows = [hashed.features(t.as_py() or "") for t in batch.column("text")]
+            cols = pa.array([np.array([keep[b] for b in sorted(r)], np.int32).tobytes() for r in rows], pa.binary())
+            vals = pa.array([np.array([r[b] for b in sorted(r)], np.float32).tobytes() for r in rows], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("grade"), batch.column("w"), cols, vals], names=["grade", "w", "cols", "vals"])
 
-    rows = [tuple(r) for r in sample.mapInArrow(project, "grade int, w double, cols array<int>, vals array<double>").collect()]
+    rows = [(r.grade, r.w, bytes(r.cols), bytes(r.vals)) for r in sample.mapInArrow(project, "grade int, w double, cols binary, vals binary").collect()]
     weights, thresholds = fit(rows, grades)
     return Model({b: float(weights[k]) for b, k in column.items() if k < len(weights)}, [float(t) for t in thresholds])
 
