@@ -133,66 +133,87 @@ _OUT = [("doc_id", pa.int64()), ("item_id", pa.int64()), ("matched", pa.int32())
 _DDL = "doc_id long, item_id long, matched int, window int, similarity double, start_token long"
 
 
-def _finder(sent, most: int = 1 << 20):
+def matches(index: Index, vocabulary: WordIds, texts, most: int = 1 << 20) -> Iterator[tuple[int, int, int, int, int]]:
+    """(row, item's number, equal tokens, window, start token) of the best window of each item in each of ``texts`` (an Arrow column)."""
+    group, first, held = [], 0, 0
+    for row in range(len(texts) + 1):
+        if row == len(texts) or held >= most:
+            if held:
+                ids, ends = np.concatenate(group), np.cumsum([len(x) for x in group])
+                best: dict[tuple[int, int], tuple[int, int, int]] = {}
+                for at, place in index.hits(ids):
+                    for s in range(0, len(at), 1 << 14):
+                        a, q = at[s : s + (1 << 14)], place[s : s + (1 << 14)]
+                        doc = np.searchsorted(ends, a, "right")
+                        begins = np.where(doc > 0, ends[doc - 1], 0)
+                        for i, m, n, w in zip(*(x.tolist() for x in index.verify(ids, begins, ends[doc], a, q)), strict=True):
+                            d = int(np.searchsorted(ends, w, "right"))
+                            new = (m, n, w - (int(ends[d - 1]) if d else 0))
+                            old = best.get((d, i))
+                            if old is None or (-new[0], new[2]) < (-old[0], old[2]):
+                                best[d, i] = new
+                for (d, i), (m, n, w) in best.items():
+                    yield first + d, i, m, n, w
+            group, first, held = [], row, 0
+        if row < len(texts):
+            group.append(vocabulary.ids(words(texts[row].as_py())))
+            held += len(group[-1])
+
+
+def _finder(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, vocabulary = pickle.loads(sent.value), WordIds()
-
-        def look(group: list[tuple[int | None, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-            ids = np.concatenate([x for _, x in group])
-            ends = np.cumsum([len(x) for _, x in group])
-            best: dict[tuple[int, int], tuple[int, int, int]] = {}
-            for at, place in index.hits(ids):
-                for s in range(0, len(at), 1 << 14):
-                    a, q = at[s : s + (1 << 14)], place[s : s + (1 << 14)]
-                    doc = np.searchsorted(ends, a, "right")
-                    begins = np.where(doc > 0, ends[doc - 1], 0)
-                    for i, m, n, w in zip(*(x.tolist() for x in index.verify(ids, begins, ends[doc], a, q)), strict=True):
-                        d = int(np.searchsorted(ends, w, "right"))
-                        old = best.get((d, i))
-                        new = (m, n, w - (int(ends[d - 1]) if d else 0))
-                        if old is None or (-new[0], new[2]) < (-old[0], old[2]):
-                            best[d, i] = new
-            if best:
-                rows = [(group[d][0], int(index.items[i]), m, n, m / n, w) for (d, i), (m, n, w) in best.items()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), _OUT, strict=True)], names=[n for n, _ in _OUT])
-
         for batch in batches:
-            group, held = [], 0
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                x = vocabulary.ids(words(text.as_py()))
-                group.append((doc_id, x))
-                held += len(x)
-                if held >= most:
-                    yield from look(group)
-                    group, held = [], 0
-            if held:
-                yield from look(group)
+            ids = batch.column(0)
+            rows = [(ids[r].as_py(), int(index.items[i]), m, n, m / n, w) for r, i, m, n, w in matches(index, vocabulary, batch.column(1))]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), _OUT, strict=True)], names=[n for n, _ in _OUT])
 
     return run
 
 
+def blocks_of(tests: DataFrame, window: int, similarity: float, block_chars: int) -> Iterator[Index]:
+    """Indexes over blocks of the test set of about ``block_chars`` characters at most; one empty index if there is nothing to look for."""
+    if window > 20 or similarity < 0.8 or window < LEAST:
+        raise ValueError("the masks are complete for windows of 8 to 20 tokens and a similarity of 0.8 or more")
+    items = tests.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("item_id IS NOT NULL AND text IS NOT NULL").distinct()
+    chars = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    blocks = max(1, -(-int(chars) // block_chars))
+    for b in range(blocks):
+        part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).sort("item_id", "text").collect()
+        yield Index([(r.item_id, w) for r in part if len(w := words(r.text)) >= LEAST], window=window, similarity=similarity)
+
+
+def drop_contaminated(docs: DataFrame, tests: DataFrame, window: int = 20, similarity: float = 0.8, block_chars: int = 4_000_000) -> DataFrame:
+    """The rows of ``docs``, with their columns, in which no test item is found: one pass for each block of the test set, no shuffle."""
+    at, kept = docs.columns.index("text"), docs
+    for index in blocks_of(tests, window, similarity, block_chars):
+        sent = send(docs.sparkSession, index)
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            index, vocabulary = pickle.loads(sent.value), WordIds()
+            for batch in batches:
+                keep = np.ones(batch.num_rows, bool)
+                for r, *_ in matches(index, vocabulary, batch.column(at)):
+                    keep[r] = False
+                yield batch.filter(pa.array(keep))
+
+        kept = kept.mapInArrow(run, docs.schema)
+    return kept
+
+
 def contaminated(docs: DataFrame, tests: DataFrame, window: int = 20, similarity: float = 0.8, block_chars: int = 4_000_000) -> DataFrame:
     """doc_id, item_id, matched, window, similarity, start_token: each pair of a document and a test item found in it.
 
     The reported window is the one with the most equal tokens, the first if several; start_token counts the document's tokens from 0.
     ``docs``: doc_id, text; ``tests``: item_id, text; other columns are ignored. Null or empty texts, and items of fewer than 8 tokens,
-    give no pair; repeated rows of docs give their pairs each; repeated items are one; a null doc_id is kept, items without an id are not looked for.
+    give no pair; repeated rows of docs give their pairs each; repeated items are one (rows of one item_id with different texts are looked for each); a null doc_id is kept, items without an id are not looked for.
 
     The test set is indexed in blocks of at most about ``block_chars`` characters, measured first, each sent to the executors for one pass over ``docs``;
     so what is broadcast is bounded, and a larger test set takes more passes.
     """
-    if window > 20 or similarity < 0.8 or window < LEAST:
-        raise ValueError("the masks are complete for windows of 8 to 20 tokens and a similarity of 0.8 or more")
-    spark = docs.sparkSession
-    items = tests.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("item_id IS NOT NULL AND text IS NOT NULL").distinct()
-    chars = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    blocks = max(1, -(-int(chars) // block_chars))
     narrow = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    found = []
-    for b in range(blocks):
-        part = [(r.item_id, w) for r in items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).sort("item_id", "text").collect() if len(w := words(r.text)) >= LEAST]
-        if part or not found:
-            found.append(narrow.mapInArrow(_finder(send(spark, Index(part, window=window, similarity=similarity))), _DDL))
+    found = [narrow.mapInArrow(_finder(send(docs.sparkSession, index)), _DDL) for index in blocks_of(tests, window, similarity, block_chars)]
     out = found[0]
     for x in found[1:]:
         out = out.union(x)

@@ -20,7 +20,7 @@ from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, send
@@ -243,3 +243,18 @@ def near_components(docs: DataFrame, words: int = 3, distance: int = 2, bucket:
 def near_groups(docs: DataFrame) -> DataFrame:
     """The contract's digest: doc_id, fingerprint (16 lower-case hex digits), component_id."""
     return near_components(docs).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, with their columns, of which one for each near-duplicate group: that with the smallest doc_id.
+
+    Of rows that repeat a doc_id within a group one stays. Rows without a doc_id can't be told apart and all stay.
+    """
+    found = materialize(near_components(docs), "found")
+    losers = materialize(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_loser")).distinct(), "losers")
+    kept = docs.join(losers, docs["doc_id"] == F.col("_loser"), "left_anti")
+    repeated = materialize(found.filter("doc_id = component_id").groupBy(F.col("doc_id").alias("_again")).agg(F.count("*").alias("n")).filter("n > 1").drop("n"), "repeated")
+    if not repeated.isEmpty():
+        ranked = kept.join(repeated, kept["doc_id"] == F.col("_again"), "left_semi").withColumn("_nth", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))))
+        kept = kept.join(repeated, kept["doc_id"] == F.col("_again"), "left_anti").unionByName(ranked.filter("_nth = 1").drop("_nth"))
+    return kept
