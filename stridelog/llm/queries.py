@@ -21,6 +21,12 @@ def op2_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return roundtrip(_table(spark, sf_dir, "pages"))
 
 
+def op3_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .permutation import nearest
+
+    return nearest(_table(spark, sf_dir, "embeddings"))
+
+
 def op4_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secrets import scan_secrets
 
@@ -58,7 +64,7 @@ def op10_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_ordinal_quality, op2_warc_zip, op4_secret_forest, op5_simhash_pigeonhole, op6_byte_shards, op7_best_fit, op9_bootstrapped_pii, op10_spaced_seeds)}
+    return {f.__name__: f for f in (op1_ordinal_quality, op2_warc_zip, op3_permutation_index, op4_secret_forest, op5_simhash_pigeonhole, op6_byte_shards, op7_best_fit, op9_bootstrapped_pii, op10_spaced_seeds)}
 
 
 def oracle_sql() -> dict[str, str]:
