@@ -90,8 +90,8 @@ def pair_answers(calls: DataFrame, answers: DataFrame) -> DataFrame:
 
 
 def context(findings: DataFrame, steps: DataFrame, around: int) -> DataFrame:
-    """Steps from ``around`` before a finding to ``around`` after it: an equi-join by run with a range inside it."""
-    f = findings.select(F.col("run_key").alias("_r"), "detector", "pattern", "start", "end", "wasted_steps")
+    """Steps from ``around`` before a finding to ``around`` after it, with the finding's detector, rule and span: an equi-join by run with a range inside it."""
+    f = findings.select(F.col("run_key").alias("_r"), "detector", F.col("pattern").alias("rule"), "start", "end", "wasted_steps")
     near = steps.join(f, (F.col("run_key") == F.col("_r")) & F.col("idx").between(F.col("start") - around, F.col("end") + around)).drop("_r")
     return near.withColumn("is_wasted", F.array_contains("wasted_steps", F.col("idx"))).drop("wasted_steps")
 
