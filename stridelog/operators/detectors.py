@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from stridelog.functions import predicates as P
 from stridelog.functions.diff import patch_files
-from stridelog.functions.text import repo_relative
+from stridelog.functions.text import repo_relative, settled
 
 from .sequence import by_run, dense_groups, edit_sessions, with_flags
 
@@ -81,7 +81,7 @@ def run_facts(steps: DataFrame, runs: DataFrame) -> DataFrame:
         ordered(F.col("landed") & (F.size("_source") > 0), F.struct(i.alias("idx"), F.col("_source").alias("paths"))).alias("source_landed"),
         F.max(F.when(F.col("reverts"), i)).alias("last_revert"),
     )
-    return runs.join(facts, F.col("run_key") == F.col("_r"), "left").drop("_r").withColumn("n_steps", F.coalesce("n_steps", F.lit(0))).withColumn("patched", patch_files(F.col("model_patch")))
+    return runs.join(facts, F.col("run_key") == F.col("_r"), "left").drop("_r").withColumn("n_steps", F.coalesce("n_steps", F.lit(0))).withColumn("patched", settled(patch_files(F.col("model_patch"))))
 
 
 def _none() -> Column:
@@ -231,10 +231,10 @@ def detect_on(facts: DataFrame, only: Sequence[str] | None = None, tier: str | N
             found.append((r, made))
     keys = ["run_key", "instance_id", "framework", "resolved"]
     plain = F.array_compact(F.array(*(F.when(F.coalesce(r.fires, F.lit(False)), made()) for r, made in found if r.each is None))) if any(r.each is None for r, _ in found) else None
-    parts = [facts.select(*keys, F.explode(plain).alias("f")).select(*keys, "f.*")] if plain is not None else []
+    parts = [facts.select(*keys, F.explode_outer(settled(plain)).alias("f")).filter("f IS NOT NULL").select(*keys, "f.*")] if plain is not None else []
     for r, made in found:
         if r.each is not None:
-            parts.append(facts.withColumn("_each", F.explode(r.each)).select(*keys, made().alias("f")).select(*keys, "f.*"))
+            parts.append(facts.withColumn("_each", F.explode_outer(settled(r.each))).filter("_each IS NOT NULL").select(*keys, settled(made()).alias("f")).select(*keys, "f.*"))
     if not parts:
         raise ValueError("no detector is chosen")
     out = parts[0]

@@ -37,7 +37,7 @@ def attribute_waste(findings: DataFrame) -> DataFrame:
     """run_key, step, category: every wasted step once, for its severest finding; of equals the one reported first. A minimum per step, so no window is sorted."""
     rank = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in SEVERITY_RANK.items() for x in kv)), F.col("severity")), F.lit(3))
     order = F.struct(rank, "start", "category", "registry_ord", "emit_ord")
-    steps = findings.select("run_key", F.explode("wasted_steps").alias("step"), F.struct(order.alias("o"), F.col("category").alias("c")).alias("x"))
+    steps = findings.select("run_key", F.explode_outer("wasted_steps").alias("step"), F.struct(order.alias("o"), F.col("category").alias("c")).alias("x")).filter("step IS NOT NULL")
     return steps.groupBy("run_key", "step").agg(F.min("x").alias("x")).select("run_key", "step", F.col("x.c").alias("category"))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from stridelog.functions import predicates as P
-from stridelog.functions.text import edit_region, repo_relative
+from stridelog.functions.text import edit_region, repo_relative, settled
 
 
 def by_run() -> WindowSpec:
@@ -40,7 +40,7 @@ def with_flags(steps: DataFrame) -> DataFrame:
         F.when(F.col("kind") == "shell", F.transform(P.invoked_scripts("command"), repo_relative)).alias("invoked"),
         ((F.col("kind") == "shell") & P.is_revert_command("command")).alias("reverts"),
     )
-    narrow = narrow.withColumn("paths", F.filter(F.transform("files", repo_relative), lambda p: p != "")).withColumn("landed", (F.col("kind") == "edit") & ~F.col("rejected"))
+    narrow = narrow.withColumn("paths", settled(F.filter(F.transform("files", repo_relative), lambda p: p != ""))).withColumn("landed", (F.col("kind") == "edit") & ~F.col("rejected"))
     of_run = lambda keep: F.array_distinct(F.flatten(F.collect_list(F.when(keep, F.col("paths"))).over(by_run())))
     out = narrow.withColumn("created_files", of_run(F.col("creates")))
     out = out.withColumn("created_scripts", F.filter("created_files", P.is_script))
