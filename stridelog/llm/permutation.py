@@ -85,12 +85,14 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list]]:
         yield key, rows
 
 
-def nearest(df: DataFrame, top: int = 20, every: int = 20, pivots: int = 128, posted: int = 64, share: float = 0.2, block: int = 4096, queries: int = 512) -> DataFrame:
+def nearest(df: DataFrame, top: int = 20, every: int = 20, pivots: int = 256, posted: int = 128, share: float = 0.2, block: int = 4096, queries: int = 512) -> DataFrame:
     """query_id, rank, vec_id, score: for each row whose vec_id is divisible by ``every`` its ``top`` nearest of all other rows found.
 
     Null, zero and non-finite vectors, rows without an id and vectors of another length than the commonest take no part. Repeated rows are one; rows of one id with
     different vectors are candidates each, but none for a query of that id. Ties go to the smaller vec_id. An empty table gives no rows. Other columns are ignored.
     """
+    if not 0 < posted <= 255:
+        raise ValueError("posted must be 1 to 255: places are kept in a byte")
     spark = df.sparkSession
     rows = materialize(valid_vectors(df), "vectors")
     # the copies of one vector: at most top + 1 of them leave each task, and they meet on the vector
