@@ -15,7 +15,7 @@ holds more than 65 prints, so this is exact and linear.
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations, repeat
 
 import numpy as np
@@ -245,12 +245,13 @@ def near_groups(docs: DataFrame) -> DataFrame:
     return near_components(docs).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, groups: Callable[[DataFrame], DataFrame] = near_components) -> DataFrame:
     """The rows of ``docs``, with their columns, of which one for each near-duplicate group: that with the smallest doc_id.
 
+    ``groups`` gives doc_id, fp and component_id of every row; those of op5's contract if not said otherwise.
     Of rows that repeat a doc_id within a group one stays. Rows without a doc_id can't be told apart and all stay.
     """
-    found = materialize(near_components(docs), "found")
+    found = materialize(groups(docs), "found")
     losers = materialize(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_loser")).distinct(), "losers")
     kept = docs.join(losers, docs["doc_id"] == F.col("_loser"), "left_anti")
     repeated = materialize(found.filter("doc_id = component_id").groupBy(F.col("doc_id").alias("_again")).agg(F.count("*").alias("n")).filter("n > 1").drop("n"), "repeated")
