@@ -1,6 +1,7 @@
 """Secret scanning with a random forest that removes false positives (native).
 
-Candidates are runs of 16 or more key characters with a digit among them. Each gets features of its own (length, shares
+Candidates are runs of 16 or more key characters with a digit among them, and, where the context points to a secret (an assignment,
+quotes, a secret word, a known prefix), also runs of letters only, shorter values and values with other marks. Each gets features of its own (length, shares
 and transitions of character classes, dictionary coverage), of its path and of the words beside it; a forest trained on labelled
 findings gives the chance that it is a secret. Everything is DataFrame and ML-pipeline expressions in the JVM.
 
@@ -17,8 +18,23 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _KEY = "A-Za-z0-9+/=_\\-"
-#: Begins only where a run begins and never backtracks, so it is linear in any text.
-CANDIDATE = f"(?<![{_KEY}])(?=[A-Za-z+/=_\\-]*+[0-9])[{_KEY}]{{16,}}+"
+_WORD = "(?i:token|secret|passw|passphrase|passcode|pwd|auth|bearer|credential|private|key)"
+_PREFIX = "A[KS]IA|gh[opsur]_|github_pat_|glpat-|[spr]k_(?:live|test)_|xox[abeoprs]-|AIza|sk-"
+_QUOTE = "\"'`"
+_NAMED = f"{_WORD}[\\w-]{{0,16}}[{_QUOTE}\\]]{{0,2}}\\s{{0,2}}"
+_VALUE = f"[^\\s{_QUOTE}()<>]"
+#: A run that itself holds name=value with a secret word leaves the value to the patterns for those.
+_RUN = f"(?<![{_KEY}])(?!\\w{{0,24}}{_WORD}[\\w-]{{0,16}}={_VALUE}{{4}})(?=[A-Za-z+/=_\\-]*+[0-9])[{_KEY}]{{16,}}+"
+#: No part backtracks over more than a bounded stretch, so it is linear in any text.
+CANDIDATE = "|".join([
+    *(f"(?<={q})(?<={_NAMED}(?:=>|[=:]{{1,2}}|[\\s(])\\s{{0,2}}{q})[^{q}\\r\\n]{{4,}}+(?={q})" for q in _QUOTE),
+    f"(?<=[=:>]\\s{{0,2}})(?<={_NAMED}(?:=>|[=:]{{1,2}})\\s{{0,2}}){_VALUE}{{4,}}(?<![.,;])",
+    f"(?<=\\s)(?=[A-Za-z.,-]{{0,64}}+[^\\sA-Za-z.,{_QUOTE}()<>-])(?<={_WORD}\\w{{0,8}}\\s{{1,2}}(?:is\\s{{1,2}})?){_VALUE}{{6,}}(?<![.,;:])",
+    f"(?<![{_KEY}])(?:{_PREFIX})[{_KEY}]{{8,}}+",
+    _RUN,
+    f"(?<=[{_QUOTE}]|[=:]\\s{{0,2}})(?<![{_KEY}&&[^=]])[{_KEY}&&[^=]]{{16,}}+",
+    f"(?<=[{_QUOTE}])(?![a-z+]{{2,8}}://)(?=[^\\s{_QUOTE}]*?[0-9@!$%^&*#])(?=[^\\s{_QUOTE}]*?[A-Za-z])[^\\s{_QUOTE}]{{8,}}+(?=[{_QUOTE}])",
+])
 
 DICTIONARY = (
     "about access account action address admin after again agent alert align alpha array asset async audit author auto back backup badge base batch beta binary block body bool boot border bottom "
@@ -37,7 +53,7 @@ DICTIONARY = (
     "visible wait walk warn watch web week weight when wide widget width window with word work worker world wrap write year zone your changeme"
 )
 
-FEATURES = ("length", "digits", "upper", "lower", "symbols", "switches", "vowel_turns", "distinct", "hex", "uuid", "coverage", "placeholder", "path_test", "path_config", "secret_word", "hash_word", "assigned", "quoted", "in_url")
+FEATURES = ("length", "digits", "upper", "lower", "symbols", "switches", "vowel_turns", "distinct", "hex", "uuid", "coverage", "placeholder", "path_test", "path_config", "secret_word", "hash_word", "assigned", "quoted", "in_url", "prefix")
 
 
 def _share(c: Column, keep: str) -> Column:
@@ -67,6 +83,7 @@ def with_features(found: DataFrame) -> DataFrame:
         "hash_word": near.rlike(r"sha\d*|md5|commit|digest|checksum|uuid|guid|etag|revision|\brev\b|\bid\b|integrity").cast("int"),
         "assigned": left.rlike(r"""[=:]\s*["'`]?\s*$""").cast("int"),
         "quoted": (left.rlike("""["'`]$""") & right.rlike("""^["'`]""")).cast("int"),
+        "prefix": c.rlike(f"^(?:{_PREFIX})").cast("int"),
         "in_url": left.rlike(r"(https?://|www\.)\S*$").cast("int"),
     }
     return found.withColumns({f"f_{k}": F.coalesce(values[k].cast("double"), F.lit(0.0)) for k in FEATURES})
@@ -93,11 +110,14 @@ def example_findings(spark: SparkSession, each: int = 120) -> DataFrame:
     h, b = "sha2(concat('s', t, '-', id), 256)", "translate(base64(unhex(sha2(concat('b', t, '-', id), 256))), '/+', 'xY')"
     word = "element_at(array('load','user','Session','cache','Item','render','Table','request','Index','config','Module','image'), cast(1 + pmod(id * {0} + {1}, 12) as int))"
     words = "concat(" + ", '_', ".join(word.format(a, c) for a, c in ((7, 1), (5, 3), (11, 2), (1, 5))) + ", pmod(id, 90))"
+    phrase = "concat(" + ", ' ', ".join(word.format(a, c) for a, c in ((5, 1), (7, 3), (11, 5), (1, 2))) + ")"
     say = "element_at(array('the value is','and then','we see that','of this','in some','it was'), cast(1 + pmod(id, 6) as int))"
     yes = [
         (f"left({h}, 40)", "concat({say}, ' token = \"')", "'\" and'", "src/app.py"), (f"left({h}, 32)", "concat({say}, ' api_key: ')", "' '", "config/settings.yml"), (f"{h}", "' secret = '''", "''''", "deploy/prod.env"),
         (f"concat('AKIA', upper(left({b}, 16)))", "concat({say}, ' ')", "' {say}'", "notes/a.txt"), (f"concat('ghp_', left({b}, 36))", "' auth: '", "' '", "ci/run.sh"), (f"left({b}, 40)", "' password = \"'", "'\"'", "src/db.py"),
         (f"concat('sk_live_', left({b}, 24))", "concat({say}, ' key ')", "', '", "app/pay.js"), (f"concat('xoxb-', pmod(id * 7919, 899999) + 100000, '-', left({b}, 24))", "' bearer '", "' '", "bot/main.py"), (f"left({h}, 48)", "concat({say}, ' access_key=')", "' '", "source"),
+        (f"translate(left({b}, 20), '0123456789', 'qRsTuVwXyZ')", "concat({say}, ' token = \"')", "'\" and'", "src/app.py"), (f"concat(left({b}, 5), element_at(array('@','!','$','#'), cast(1 + pmod(id, 4) as int)), pmod(id * 7919, 89) + 10, '!')", "concat({say}, ' password: ')", "' {say}'", "config/site.yml"),
+        (f"concat({phrase}, element_at(array('!','?','.','$'), cast(1 + pmod(id, 4) as int)))", "' passphrase = \"'", "'\"'", "deploy/prod.env"), (f"concat({word.format(7, 1)}, pmod(id * 31, 9000), element_at(array('@','!','$','.'), cast(1 + pmod(id, 4) as int)), left({b}, 3))", "' pwd = '''", "''''", "src/db.py"),
     ]
     no = [
         (f"left({h}, 40)", "' commit '", "' by'", "CHANGELOG"), (f"left({h}, 32)", "' md5 checksum: '", "' file'", "dist/sums.txt"), (f"{h}", "' sha256 digest = '", "' '", "pkg/lock"),
@@ -105,6 +125,8 @@ def example_findings(spark: SparkSession, each: int = 120) -> DataFrame:
         (f"concat(left({h}, 16), '/', {words})", "' https://cdn.site/'", "'.png'", "web/page.html"), (f"concat('2024', lpad(pmod(id, 12) + 1, 2, '0'), lpad(pmod(id, 28) + 1, 2, '0'), '-', pmod(id * 7919, 899999) + 100000, '-', pmod(id, 97))", "' run '", "' '", "log.txt"),
         (f"concat(pmod(id * 104729, 899999) + 100000, pmod(id * 7919, 899999) + 100000, pmod(id * 31, 89999) + 10000)", "concat({say}, ' ')", "' '", "source"), (f"left({h}, 40)", "' token = \"'", "'\"'", "tests/fixture/sample.py"), (f"concat({words}, '=', pmod(id, 1000))", "'?'", "'&'", "url.txt"),
         ("concat('0000000000', repeat(cast(pmod(id, 10) as string), 10 + pmod(id, 9)))", "' key: '", "' '", "config.yml"),
+        (f"concat({word.format(5, 1)}, '.', {word.format(7, 2)})", "' token = '", "'()'", "src/app.py"), (f"lower({word.format(5, 1)})", "concat({say}, ' password: ')", "' {say}'", "source"), (f"concat('your_', lower({word.format(7, 3)}))", "' password = \"'", "'\"'", "src/db.py"),
+        (f"concat({word.format(5, 1)}, {word.format(7, 3)}, {word.format(11, 5)}, {word.format(1, 2)})", "' name = \"'", "'\"'", "src/view.py"), (f"concat({word.format(5, 1)}, '-', pmod(id, 100), '.js')", "' file \"'", "'\"'", "src/view.py"),
     ]
     out = None
     for t, (label, (c, left, right, path)) in enumerate([(1, x) for x in yes] + [(0, x) for x in no]):
