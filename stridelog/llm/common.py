@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -13,12 +15,15 @@ from pyspark.sql import functions as F
 def shared_root(spark: SparkSession) -> str:
     """Folder for intermediate tables that driver and executors share.
 
-    It is the one named in ``spark.checkpoint.dir``; only where that is unset (tests,
-    a laptop) is a temporary folder made and recorded in the session.
+    It is the one named in ``spark.checkpoint.dir``. Only where that is unset and the master is local (tests,
+    a laptop) is a temporary folder made, recorded in the session and removed when the driver ends; a cluster without the setting raises.
     """
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="stridelog-")
+        atexit.register(shutil.rmtree, root, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/stridelog-{spark.sparkContext.applicationId}"
 
@@ -36,6 +41,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Column names like ``names`` that ``df`` doesn't have, whatever its columns are called (case doesn't tell names apart)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def text_or_empty(column: str):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 

@@ -20,15 +20,23 @@ from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, send
+from .common import materialize, send, unused
 from .components import components
 
 _CHUNK = 1 << 16
 
 
+def majority(hashes: np.ndarray) -> int:
+    """Unsigned print of a set of uint64 hashes: a bit is set if over half of them have it. None: 0."""
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), _CHUNK):
+        counts += np.unpackbits(hashes[at : at + _CHUNK].astype(">u8").view(np.uint8)).reshape(-1, 64).sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(counts * 2 > len(hashes)).tobytes(), "big")
+
+
 def fingerprint(text: str, words: int = 3, seed: int = 42) -> int:
     """Unsigned print of one text: a bit is set if over half of the shingles' XXH64 have it. No words: 0."""
     from xxhash import xxh64_digest
@@ -48,14 +56,15 @@ def fingerprint(text: str, words: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFrame:
-    """doc_id, fp (the print as a signed long) of every row; a null text has no words."""
+    """doc_id, h (hash of the text), fp (the print as a signed long) of every row; a null text has no words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = np.array([fingerprint(t.as_py() or "", words, seed) for t in batch.column(1)], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], names=["doc_id", "fp"])
+            prints = np.array([fingerprint(t.as_py() or "", words, seed) for t in batch.column(2)], np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(prints.view(np.int64))], names=["doc_id", "h", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text")).mapInArrow(run, "doc_id long, h long, fp long")
 
 
 def group_bits(together: np.ndarray, total: int, groups: int) -> list[list[int]]:
@@ -226,9 +235,9 @@ def near_edges(fps: DataFrame, distance: int = 2, bucket: int = 64) -> DataFrame
 
 
 def near_components(docs: DataFrame, words: int = 3, distance: int = 2, bucket: int = 64) -> DataFrame:
-    """doc_id, fp, component_id of every row of ``docs`` (doc_id, text; other columns are ignored).
+    """doc_id, h (hash of the text), fp, root, component_id of every row of ``docs`` (doc_id, text; other columns are ignored).
 
-    component_id: the smallest doc_id reachable over links between prints (null if none has one). Equal prints are one node,
+    root: a number of the component; component_id: the smallest doc_id reachable over links between prints (null if none has one). Equal prints are one node,
     so groups of copies cost one row. A null or empty text has print 0 and is linked like any other; an empty table gives no rows.
     """
     prints = materialize(fingerprints(docs, words), "prints")
@@ -236,8 +245,8 @@ def near_components(docs: DataFrame, words: int = 3, distance: int = 2, bucket:
     roots = components(near_edges(nodes.select("fp"), distance, bucket))
     named = materialize(nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "named")
     ids = named.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("n"))
-    labels = named.join(ids.filter("n > 1").select(F.col("root").alias("r"), "component_id"), F.col("root") == F.col("r"), "left").select(F.col("fp").alias("fp2"), F.coalesce("component_id", "first").alias("component_id"))
-    return prints.join(labels, F.col("fp") == F.col("fp2")).select("doc_id", "fp", "component_id")
+    labels = named.join(ids.filter("n > 1").select(F.col("root").alias("r"), "component_id"), F.col("root") == F.col("r"), "left").select(F.col("fp").alias("fp2"), "root", F.coalesce("component_id", "first").alias("component_id"))
+    return prints.join(labels, F.col("fp") == F.col("fp2")).select("doc_id", "h", "fp", "root", "component_id")
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
@@ -246,16 +255,24 @@ def near_groups(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, groups: Callable[[DataFrame], DataFrame] = near_components) -> DataFrame:
-    """The rows of ``docs``, with their columns, of which one for each near-duplicate group: that with the smallest doc_id.
+    """The rows of ``docs``, with their columns, of which exactly one for each near-duplicate group.
 
-    ``groups`` gives doc_id, fp and component_id of every row; those of op5's contract if not said otherwise.
-    Of rows that repeat a doc_id within a group one stays. Rows without a doc_id can't be told apart and all stay.
+    ``groups`` gives doc_id, h (Spark's xxhash64 of the text as it is) and root (a number of the group) of every row; those of op5's contract if not said otherwise. Rows are told
+    apart by id and text: the one with the smallest doc_id stays (rows without one only where the group has no other), of several with that id the one with the least hash of its text. Of rows that
+    repeat both, one stays. So rows that share a doc_id but not a group are judged apart, and a group never loses all its rows.
     """
-    found = materialize(groups(docs), "found")
-    losers = materialize(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_loser")).distinct(), "losers")
-    kept = docs.join(losers, docs["doc_id"] == F.col("_loser"), "left_anti")
-    repeated = materialize(found.filter("doc_id = component_id").groupBy(F.col("doc_id").alias("_again")).agg(F.count("*").alias("n")).filter("n > 1").drop("n"), "repeated")
-    if not repeated.isEmpty():
-        ranked = kept.join(repeated, kept["doc_id"] == F.col("_again"), "left_semi").withColumn("_nth", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))))
-        kept = kept.join(repeated, kept["doc_id"] == F.col("_again"), "left_anti").unionByName(ranked.filter("_nth = 1").drop("_nth"))
-    return kept
+    found = materialize(groups(docs).select("doc_id", "h", "root"), "found")
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("h").alias("h"))
+    best = found.groupBy(F.col("root").alias("r")).agg(F.min(rank).alias("best"), F.count("*").alias("n")).filter("n > 1")
+    crowd = materialize(found.join(best, F.col("root") == F.col("r")).select("doc_id", "h", (rank == F.col("best")).alias("stays")), "crowd")
+    d, h, k = unused(docs, "_d", "_h", "_k")
+    key = lambda df: df.select(F.col("doc_id").alias(d), F.col("h").alias(h))
+    marked = docs.withColumn(k, F.xxhash64(F.col("text").cast("string")))
+    same = lambda df: df[k].eqNullSafe(F.col(h)) & df["doc_id"].cast("long").eqNullSafe(F.col(d))
+    losers = materialize(key(crowd.filter("NOT stays").distinct()), "losers")
+    kept = marked.join(losers, same(marked), "left_anti")
+    repeated = materialize(key(crowd.filter("stays").groupBy("doc_id", "h").agg(F.count("*").alias("n")).filter("n > 1")), "repeated")
+    if repeated.isEmpty():
+        return kept.drop(k)
+    once = kept.join(repeated, same(kept), "left_semi").dropDuplicates(["doc_id", k])
+    return kept.join(repeated, same(kept), "left_anti").unionByName(once).drop(k)
