@@ -7,6 +7,7 @@ together cost no further shuffle. Rules live in a registry in the order in which
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from inspect import signature
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -26,19 +27,25 @@ class Rule(NamedTuple):
     phase: str
     severity: str
     confidence: float
-    fires: Column  # over run facts; array rules give one finding for each element of `each`
+    fires: Column  # over run facts
     start: Column
     end: Column
     wasted: Column
     evidence: Column
     detail: Column  # struct
-    each: Column | None = None
+
+
+class EachRule(NamedTuple):
+    """A rule that gives one finding for each element of an array over run facts."""
+
+    each: Column
+    rule: Callable[[Column], Rule]
 
 
 class Detector(NamedTuple):
     name: str
     tier: str
-    rules: Callable[..., list[Rule]]
+    rules: Callable[..., list[Rule | EachRule]]
     doc: str
 
 
@@ -140,15 +147,17 @@ def edit_error(min_repeats: int = 3, window: int = 10) -> list[Rule]:
             lambda p: F.transform(dense_groups(F.transform(F.filter("refused", lambda r: r["path"] == p), lambda r: r["idx"]), min_repeats, window), lambda s: F.struct(p.alias("path"), s.alias("span"))),
         )
     )
-    x = F.col("_each")
-    lo, hi = F.array_min("_each.span"), F.array_max("_each.span")
-    healed = lambda e: F.exists("landings", lambda d: d["idx"].between(F.array_min(e["span"]), F.array_max(e["span"])) & F.array_contains(d["paths"], e["path"]))
-    return [
-        Rule(
+    span_of = lambda e: (F.array_min(e["span"]), F.array_max(e["span"]))
+    healed = lambda e: F.exists("landings", lambda d: d["idx"].between(*span_of(e)) & F.array_contains(d["paths"], e["path"]))
+
+    def streak(x: Column) -> Rule:
+        lo, hi = span_of(x)
+        return Rule(
             "rejected_edit_streak", "execution", "medium", 0.8, F.lit(True), lo, hi, F.slice(x["span"], F.lit(2), F.size(x["span"])), _text(F.size(x["span"]), " rejected edits against ", x["path"], " within ", hi - lo, " steps"),
-            F.struct(F.lit("rejected_edit_streak").alias("pattern"), x["path"].alias("path"), x["span"].alias("occurrences")), F.filter(spans, lambda e: ~healed(e)),
-        )
-    ]
+            F.struct(F.lit("rejected_edit_streak").alias("pattern"), x["path"].alias("path"), x["span"].alias("occurrences")),
+        )
+
+    return [EachRule(F.coalesce(F.filter(spans, lambda e: ~healed(e)), F.expr("cast(array() as array<struct<path:string,span:array<int>>>)")), streak)]
 
 
 def _edits(first: Column) -> tuple[Column, Column]:
@@ -209,38 +218,40 @@ ORDER = ("verification_gap", "submit_despite_failure", "edit_error", "localizati
 
 
 def detect_on(facts: DataFrame, only: Sequence[str] | None = None, tier: str | None = None, **options) -> DataFrame:
-    """Findings of the chosen detectors over run facts. Others are left out before a plan is made."""
+    """Findings of the chosen detectors over run facts. Others are left out before a plan is made.
+
+    A detector that doesn't take all of ``options`` runs with its defaults; an option that no registered detector takes is an error.
+    """
     unknown = set(only or ()) - set(REGISTRY)
     if unknown:
         raise ValueError(f"unknown detectors: {sorted(unknown)}")
+    takes = {n: set(signature(d.rules).parameters) for n, d in REGISTRY.items()}
+    if unknown := set(options) - set().union(*takes.values()):
+        raise ValueError(f"options of no detector: {sorted(unknown)}")
     chosen = [REGISTRY[n] for n in sorted(REGISTRY, key=lambda n: (ORDER.index(n) if n in ORDER else len(ORDER), n)) if (only is None or n in only) and (tier is None or REGISTRY[n].tier == tier)]
-    found = []
+    if not chosen:
+        raise ValueError("no detector is chosen")
+
+    def made(r: Rule, d: Detector, order: int, emit: int) -> Column:
+        return F.struct(
+            F.lit(d.name).alias("detector"), F.lit(r.pattern).alias("pattern"), F.lit(d.name).alias("category"), F.lit(r.phase).alias("phase"), F.lit(r.severity).alias("severity"), r.start.cast("int").alias("start"), r.end.cast("int").alias("end"),
+            r.wasted.cast("array<int>").alias("wasted_steps"), r.evidence.alias("evidence"), F.lit(r.confidence).alias("confidence"), F.to_json(r.detail, {"ignoreNullFields": "false"}).alias("detail"), F.lit(order).alias("registry_ord"), F.lit(emit).alias("emit_ord"),
+        )
+
+    def of_element(r: EachRule, *at) -> Callable[[Column], Column]:
+        return lambda x: made(r.rule(x), *at)
+
+    one, many = [], []
     for order, d in enumerate(chosen):
-        try:
-            rules = d.rules(**options)
-        except TypeError:  # options of other detectors
-            rules = d.rules()
-        for emit, r in enumerate(rules):
-
-            def made(r: Rule = r, d: Detector = d, order: int = order, emit: int = emit) -> Column:
-                return F.struct(
-                    F.lit(d.name).alias("detector"), F.lit(r.pattern).alias("pattern"), F.lit(d.name).alias("category"), F.lit(r.phase).alias("phase"), F.lit(r.severity).alias("severity"), r.start.cast("int").alias("start"), r.end.cast("int").alias("end"),
-                    r.wasted.cast("array<int>").alias("wasted_steps"), r.evidence.alias("evidence"), F.lit(r.confidence).alias("confidence"), F.to_json(r.detail, {"ignoreNullFields": "false"}).alias("detail"), F.lit(order).alias("registry_ord"), F.lit(emit).alias("emit_ord"),
-                )
-
-            found.append((r, made))
+        for emit, r in enumerate(d.rules(**options) if takes[d.name] >= set(options) else d.rules()):
+            if isinstance(r, EachRule):
+                many.append(F.transform(r.each, of_element(r, d, order, emit)))
+            else:
+                one.append(F.when(F.coalesce(r.fires, F.lit(False)), made(r, d, order, emit)))
+    # all findings of a run are one array, so the facts are read once
+    lists = [*([F.array_compact(F.array(*one))] if one else []), *many]
     keys = ["run_key", "instance_id", "framework", "resolved"]
-    plain = F.array_compact(F.array(*(F.when(F.coalesce(r.fires, F.lit(False)), made()) for r, made in found if r.each is None))) if any(r.each is None for r, _ in found) else None
-    parts = [facts.select(*keys, F.explode_outer(settled(plain)).alias("f")).filter("f IS NOT NULL").select(*keys, "f.*")] if plain is not None else []
-    for r, made in found:
-        if r.each is not None:
-            parts.append(facts.withColumn("_each", F.explode_outer(settled(r.each))).filter("_each IS NOT NULL").select(*keys, settled(made()).alias("f")).select(*keys, "f.*"))
-    if not parts:
-        raise ValueError("no detector is chosen")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return facts.select(*keys, F.explode_outer(settled(F.concat(*lists) if len(lists) > 1 else lists[0])).alias("f")).filter("f IS NOT NULL").select(*keys, "f.*")
 
 
 def detect_all(steps: DataFrame, runs: DataFrame, only: Sequence[str] | None = None, tier: str | None = None, **options) -> DataFrame:

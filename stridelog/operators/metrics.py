@@ -7,11 +7,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stridelog.functions import predicates as P
-from stridelog.functions.text import observation_key
+from stridelog.functions.text import observation_key, settled
+
+from .ranks import numbered_from_top, sums_below
 
 #: The part of a run that a category belongs to; others count as execution.
 PHASES = {"localization_failure": "planning", "submit_despite_failure": "verification", "verification_gap": "verification"}
@@ -33,10 +35,13 @@ def is_source_edit() -> Column:
     return (F.col("kind") == "edit") & ~((F.size(own) > 0) & F.forall(own, P.is_test_or_scratch))
 
 
+def _rank() -> Column:
+    return F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in SEVERITY_RANK.items() for x in kv)), F.col("severity")), F.lit(3)).alias("rank")
+
+
 def attribute_waste(findings: DataFrame) -> DataFrame:
     """run_key, step, category: every wasted step once, for its severest finding; of equals the one reported first. A minimum per step, so no window is sorted."""
-    rank = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in SEVERITY_RANK.items() for x in kv)), F.col("severity")), F.lit(3))
-    order = F.struct(rank, "start", "category", "registry_ord", "emit_ord")
+    order = F.struct(_rank(), "start", "category", "registry_ord", "emit_ord")
     steps = findings.select("run_key", F.explode_outer("wasted_steps").alias("step"), F.struct(order.alias("o"), F.col("category").alias("c")).alias("x")).filter("step IS NOT NULL")
     return steps.groupBy("run_key", "step").agg(F.min("x").alias("x")).select("run_key", "step", F.col("x.c").alias("category"))
 
@@ -48,10 +53,9 @@ def _counts(df: DataFrame, keys: list[str], what: str, name: str) -> DataFrame:
 
 
 def process_shape(steps: DataFrame) -> DataFrame:
-    """run_key, total_steps, source_edits, test_runs and the ratios made of them."""
+    """run_key, total_steps, source_edits, test_runs and the ratios made of them: one exchange by run, of a few flags and the result's identity."""
     key = observation_key("observation", "error_fp")
-    s = steps.select("run_key", is_source_edit().alias("e"), F.coalesce("is_test_run", F.lit(False)).alias("t"), F.nullif(key, F.lit("empty")).alias("k"))
-    # distinct results are counted by run and key first, so equal results are combined before they travel
+    s = steps.select("run_key", is_source_edit().alias("e"), F.coalesce("is_test_run", F.lit(False)).alias("t"), F.nullif(key, F.lit("empty")).alias("k")).repartition("run_key")
     k = s.groupBy("run_key", "k").agg(F.count("*").alias("n"), F.count_if("e").alias("e"), F.count_if("t").alias("t"))
     out = k.groupBy("run_key").agg(F.sum("n").alias("total_steps"), F.sum("e").alias("source_edits"), F.sum("t").alias("test_runs"), F.count("k").alias("_novel"), F.coalesce(F.sum(F.when(F.col("k").isNotNull(), F.col("n"))), F.lit(0)).alias("_all"))
     return out.select(
@@ -60,18 +64,32 @@ def process_shape(steps: DataFrame) -> DataFrame:
     )
 
 
+def _tally(values: Column) -> Column:
+    """Map from each distinct value of an array to how often it is there."""
+    return F.map_from_entries(F.transform(F.array_sort(F.array_distinct(values)), lambda v: F.struct(v, F.size(F.filter(values, lambda x: x == v)).cast("long"))))
+
+
+def charged(findings: DataFrame) -> DataFrame:
+    """run_key, n_findings, hit, by_severity, by_category, by_phase, wasted_steps of runs with findings: one exchange by run. A run's findings are few, its length bounds their steps.
+
+    Wasted steps are charged once, by the rule of ``attribute_waste``.
+    """
+    each = F.struct(_rank(), "start", "category", "registry_ord", "emit_ord", "severity", F.coalesce("wasted_steps", F.array().cast("array<int>")).alias("wasted"))
+    f = findings.groupBy("run_key").agg(F.array_sort(F.collect_list(each)).alias("_f"))
+    marks = F.array_sort(F.flatten(F.transform("_f", lambda x, i: F.transform(x["wasted"], lambda s: F.struct(s.alias("step"), i.alias("i"), x["category"].alias("c"))))))
+    f = f.withColumn("_marks", settled(marks))
+    first = F.filter("_marks", lambda m, i: (i == 0) | (F.get("_marks", i - 1)["step"] != m["step"]))
+    f = f.withColumn("_c", settled(F.transform(first, lambda m: m["c"])))
+    return f.select(
+        "run_key", F.size("_f").cast("long").alias("n_findings"), F.array_sort(F.array_distinct(F.transform("_f", lambda x: x["category"]))).alias("hit"), _tally(F.transform("_f", lambda x: x["severity"])).alias("by_severity"),
+        F.size("_c").cast("long").alias("wasted_steps"), _tally(F.col("_c")).alias("by_category"), _tally(F.transform("_c", phase_of)).alias("by_phase"),
+    )
+
+
 def waste_reports(runs: DataFrame, steps: DataFrame, findings: DataFrame) -> DataFrame:
     """One row a run: waste, findings by category, phase and severity, and process shape. ``hit`` lists the categories with a finding."""
-    waste = attribute_waste(findings)
-    charged = waste.groupBy("run_key", "category").agg(F.count("*").alias("n"))
-    by_category = charged.groupBy("run_key").agg(F.sum("n").alias("wasted_steps"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("category", "n")))).alias("by_category"))
-    by_phase = charged.groupBy("run_key", phase_of(F.col("category")).alias("phase")).agg(F.sum("n").alias("n")).groupBy("run_key").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("phase", "n")))).alias("by_phase"))
-    found = findings.groupBy("run_key").agg(F.count("*").alias("n_findings"), F.sort_array(F.collect_set("category")).alias("hit"))
-    by_severity = _counts(findings, ["run_key"], "severity", "by_severity")
     empty = F.expr("cast(map() as map<string, bigint>)")
-    out = runs.select("run_key", "instance_id", "framework", "resolved")
-    for part in (process_shape(steps), by_category, by_phase, found, by_severity):
-        out = out.join(part, "run_key", "left")
+    out = runs.select("run_key", "instance_id", "framework", "resolved").join(process_shape(steps), "run_key", "left").join(charged(findings), "run_key", "left")
     zero = {c: F.coalesce(c, F.lit(0).cast("long")) for c in ("total_steps", "wasted_steps", "n_findings", "source_edits", "test_runs")}
     zero |= {c: F.coalesce(c, empty) for c in ("by_category", "by_phase", "by_severity")} | {c: F.coalesce(c, F.lit(0.0)) for c in ("tests_per_source_edit", "test_run_ratio", "novel_observation_ratio")}
     out = out.withColumns(zero).withColumn("hit", F.coalesce("hit", F.array().cast("array<string>")))
@@ -120,37 +138,35 @@ def kind_mix(steps: DataFrame, by: list[str] | None = None) -> DataFrame:
 PREDICTORS = ("total_steps", "wasted_steps", "wasted_step_ratio", "n_findings", "source_edits", "test_runs", "tests_per_source_edit", "test_run_ratio", "novel_observation_ratio")
 
 
-def auc(scores: DataFrame, group: str, score: str, positive: str) -> DataFrame:
-    """group, auc: chance that a positive row outranks a negative one, ties counting half; NaN without both classes.
+def auc(scores: DataFrame, group: str, score: str, positive: str, occurs: str | None = None) -> DataFrame:
+    """group, auc: chance that a positive row outranks a negative one, ties counting half; NaN without both classes. ``occurs``: a mark that some row of a group must have for the group to be shown.
 
-    Rows are first counted by score, so the window that ranks runs over distinct scores and not over rows.
+    Rows are first counted by score, and the running sums are made range by range.
     """
-    c = scores.groupBy(group, score).agg(F.count_if(positive).cast("double").alias("p"), F.count_if(~F.col(positive)).cast("double").alias("q"))
-    below = F.coalesce(F.sum("q").over(Window.partitionBy(group).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    wins = c.withColumn("w", F.col("p") * (below + F.col("q") / 2)).groupBy(group).agg(F.sum("w").alias("w"), F.sum("p").alias("p"), F.sum("q").alias("q"))
-    return wins.select(group, F.when((F.col("p") > 0) & (F.col("q") > 0), F.try_divide("w", F.col("p") * F.col("q"))).otherwise(F.lit(float("nan"))).alias("auc"))
+    seen = F.bool_or(occurs) if occurs else F.lit(True)
+    c = scores.groupBy(group, score).agg(seen.alias("_seen"), F.count_if(positive).cast("double").alias("p"), F.count_if(~F.col(positive)).cast("double").alias("q")).persist()  # read for the cuts, the ranges and the rows
+    wins = sums_below(c, group, score, "q").withColumn("w", F.col("p") * (F.col("below") + F.col("q") / 2)).groupBy(group).agg(F.sum("w").alias("w"), F.sum("p").alias("p"), F.sum("q").alias("q"), F.bool_or("_seen").alias("_seen"))
+    return wins.filter("_seen").select(group, F.when((F.col("p") > 0) & (F.col("q") > 0), F.try_divide("w", F.col("p") * F.col("q"))).otherwise(F.lit(float("nan"))).alias("auc"))
 
 
 def discrimination(reports: DataFrame) -> DataFrame:
-    """predictor, auc of failing, over runs with a known outcome: process figures, and wasted steps of each category that occurs."""
+    """predictor, auc of failing, over runs with a known outcome: process figures, and wasted steps of each registered category that occurs."""
+    from .detectors import REGISTRY
+
     r = reports.filter("resolved IS NOT NULL").withColumn("failed", ~F.col("resolved"))
-    long = r.select("failed", F.explode(F.array(*(F.struct(F.lit(p).alias("predictor"), F.col(p).cast("double").alias("score")) for p in PREDICTORS))).alias("x")).select("failed", "x.*")
-    names = [x.category for x in r.select(F.explode(F.map_keys("by_category")).alias("category")).distinct().collect()]  # at most one a rule
-    for c in sorted(names):
-        long = long.union(r.select("failed", F.lit(f"wasted_steps:{c}"), F.coalesce(F.try_element_at("by_category", F.lit(c)), F.lit(0)).cast("double")))
-    return auc(long, "predictor", "score", "failed")
+    one = lambda name, score, seen: F.struct(F.lit(name).alias("predictor"), score.cast("double").alias("score"), seen.alias("seen"))
+    figures = [one(p, F.col(p), F.lit(True)) for p in PREDICTORS]
+    steps = [one(f"wasted_steps:{c}", F.coalesce(F.try_element_at("by_category", F.lit(c)), F.lit(0)), F.map_contains_key("by_category", c)) for c in sorted(REGISTRY)]
+    long = r.select("failed", F.explode(F.array(*figures, *steps)).alias("x")).select("failed", "x.*")
+    return auc(long, "predictor", "score", "failed", occurs="seen")
 
 
 def top_failures(reports: DataFrame, shares: Sequence[float] = (0.10, 0.25, 0.50, 0.75, 1.00)) -> DataFrame:
-    """share, k, failed_rate among the runs with the highest waste ratio, ties by run_key. Runs are counted by rank through a global prefix of few distinct ratios."""
-    r = reports.filter("resolved IS NOT NULL").select("run_key", "wasted_step_ratio", (~F.col("resolved")).cast("int").alias("f"))
-    n = r.count()
-    out = None
-    for q in shares:
-        k = max(1, int(n * q))
-        top = r.orderBy(F.desc("wasted_step_ratio"), "run_key").limit(k).agg(F.lit(float(q)).alias("share"), F.count("*").alias("k"), F.avg("f").alias("failed_rate"))
-        out = top if out is None else out.union(top)
-    return out
+    """share, k, failed_rate among the runs with the highest waste ratio, equal ratios in the order of their run_key's SHA-256."""
+    known = reports.filter("resolved IS NOT NULL").select("run_key", "wasted_step_ratio", (~F.col("resolved")).cast("int").alias("f")).persist()  # read for the cuts, the ranges and the rows
+    r, n = numbered_from_top(known, "wasted_step_ratio", "run_key"), known.agg(F.count("*").alias("_all"))
+    cut = r.join(F.broadcast(n)).withColumn("share", F.explode(F.array(*(F.lit(float(q)) for q in shares)))).filter(F.col("nth") <= F.greatest(F.lit(1), F.floor(F.col("_all") * F.col("share"))))
+    return cut.groupBy("share").agg(F.count("*").alias("k"), F.avg("f").alias("failed_rate"))
 
 
 def detector_profile(runs: DataFrame, findings: DataFrame) -> DataFrame:

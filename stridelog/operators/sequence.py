@@ -61,15 +61,17 @@ def edit_sessions(flags: DataFrame) -> DataFrame:
 
 def dense_groups(positions: Column, threshold: int, window: int) -> Column:
     """Of sorted positions the groups, taken greedily from the left, of at least ``threshold`` less than ``window`` from their first."""
-    empty = "cast(array() as array<array<int>>)"
-    start = F.struct(F.lit(0).alias("at"), F.expr(empty).alias("out"))
+    none = F.expr("cast(array() as array<array<int>>)")
+    start = F.struct(none.alias("out"), F.expr("cast(array() as array<int>)").alias("open"))
+    emitted = lambda a: F.when(F.size(a["open"]) >= threshold, F.array_append(a["out"], a["open"])).otherwise(a["out"])
 
-    def step(acc: Column, i: Column) -> Column:
-        own = F.filter(positions, lambda p, k: (k >= i) & (p - F.get(positions, i) < window))
-        take = (i >= acc["at"]) & (F.size(own) >= threshold)
-        return F.struct(F.when(take, i + F.size(own)).otherwise(acc["at"]).alias("at"), F.when(take, F.array_append(acc["out"], own)).otherwise(acc["out"]).alias("out"))
+    def step(a: Column, p: Column) -> Column:
+        # `open` begins at the first place that may still begin a group; once p is too far from it the group is complete or that place is given up
+        fits = (F.size(a["open"]) == 0) | (p - F.get(a["open"], F.lit(0)) < window)
+        rest = F.when(fits, a["open"]).when(F.size(a["open"]) >= threshold, F.expr("cast(array() as array<int>)")).otherwise(F.filter(a["open"], lambda x: p - x < window))
+        return F.struct(F.when(fits, a["out"]).otherwise(emitted(a)).alias("out"), F.array_append(rest, p).alias("open"))
 
-    return F.when(F.size(positions) >= threshold, F.aggregate(F.sequence(F.lit(0), F.size(positions) - 1), start, step, lambda a: a["out"])).otherwise(F.expr(empty))
+    return F.coalesce(F.aggregate(positions, start, step, emitted), none)
 
 
 def carry_forward(value: Column) -> Column:

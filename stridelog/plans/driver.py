@@ -280,15 +280,19 @@ def kinds_per_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.kind_mix(steps(spark, sf_dir), ["run_key"]).select("run_key", "kind", "n")
 
 
-_AUC = "SELECT '{0}' AS predictor, round(coalesce((sum(CASE WHEN resolved THEN 0 ELSE rk END) - p * (p + 1) / 2) / (p * (count(*) - p)), CAST('nan' AS DOUBLE)), 9) AS auc FROM (SELECT resolved, rank() OVER (ORDER BY {0}) + (count(*) OVER (PARTITION BY {0}) - 1) / 2 AS rk, count(*) FILTER (WHERE NOT resolved) OVER () AS p FROM rep WHERE resolved IS NOT NULL) GROUP BY p"
+_AUC = "SELECT '{0}' AS predictor, round(coalesce((sum(CASE WHEN resolved THEN 0 ELSE rk END) - p * (p + 1) / 2) / (p * (count(*) - p)), CAST('nan' AS DOUBLE)), 9) AS auc FROM (SELECT resolved, rank() OVER (ORDER BY {1}) + (count(*) OVER (PARTITION BY {1}) - 1) / 2 AS rk, count(*) FILTER (WHERE NOT resolved) OVER () AS p FROM per WHERE resolved IS NOT NULL) GROUP BY p"
 
 
-@query("auc", with_(WASTE_SQL, " UNION ALL ".join(_AUC.format(p) for p in M.PREDICTORS)))
+_CHARGED = ["edit_error", "localization_failure", "lost_edit", "termination_anomaly"]
+_AUC_ROWS = ", per AS (SELECT rep.*, " + ", ".join(f"(SELECT count(*) FROM waste w WHERE w.run_key = rep.run_key AND w.category = '{c}') AS \"wasted_steps:{c}\"" for c in _CHARGED) + " FROM rep) "
+
+
+@query("auc", with_(WASTE_SQL + _AUC_ROWS, " UNION ALL ".join([*(_AUC.format(p, p) for p in M.PREDICTORS), *(f"SELECT * FROM ({_AUC.format(f'wasted_steps:{c}', _q)}) WHERE EXISTS (SELECT 1 FROM waste JOIN rep r USING (run_key) WHERE category = '{c}' AND r.resolved IS NOT NULL)" for c in _CHARGED for _q in [f'"wasted_steps:{c}"'])])))
 def auc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.discrimination(reports(spark, sf_dir)[0]).filter(~F.startswith(F.col("predictor"), F.lit("wasted_steps:"))).withColumn("auc", F.round("auc", 9))
+    return M.discrimination(reports(spark, sf_dir)[0]).withColumn("auc", F.round("auc", 9))
 
 
-@query("top_quantile_failures", with_(WASTE_SQL, """, r AS (SELECT *, row_number() OVER (ORDER BY wasted_step_ratio DESC, run_key) AS nth, count(*) OVER () AS n FROM rep WHERE resolved IS NOT NULL)
+@query("top_quantile_failures", with_(WASTE_SQL, """, r AS (SELECT *, row_number() OVER (ORDER BY wasted_step_ratio DESC, sha256(run_key), run_key) AS nth, count(*) OVER () AS n FROM rep WHERE resolved IS NOT NULL)
 SELECT CAST(q AS DOUBLE) AS share, count(*) AS k, round(avg(CASE WHEN resolved THEN 0 ELSE 1 END), 9) AS failed_rate FROM r, (VALUES (0.10), (0.25), (0.50), (0.75), (1.00)) x(q) WHERE nth <= greatest(1, floor(n * CAST(q AS DOUBLE))) GROUP BY q"""))
 def top_quantile_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.top_failures(reports(spark, sf_dir)[0]).withColumn("failed_rate", F.round("failed_rate", 9))
@@ -497,7 +501,7 @@ vectors("repo_relative", [("/testbed/src/a.py", "src/a.py"), ("/workspace/acme__
 vectors("norm_ws", [("  a\t\n b ", "a b"), ("", ""), ("x", "x"), ("é  ü", "é ü")], X.norm_ws, "VARCHAR")
 vectors("clean_output", [("\x1b[31mred\x1b[0m", "red"), ("a\r\nb", "a\nb"), ("10%\r50%\rdone\nok", "done\nok"), (None, "")], X.clean_output, "VARCHAR")
 vectors("strip_volatile", [("cat /tmp/ab1/x.log", "cat /tmp/<TMP>"), ("cd /home/me/src", "cd /<HOME>/src"), ("git show deadbeef12", "git show <HEX>"), ("at 2024-01-02T03:04:05Z", "at <TS>"), ("kill pid=77", "kill pid=<N>"), ("v 1.2.3 and 42 and 7", "v <VER> and <N> and 7")], X.strip_volatile, "VARCHAR")
-vectors("split_segments", [("a; b | c && d", ["a", " b ", " c ", " d"]), ("echo 'x;y' | z", ["echo 'x;y' ", " z"]), ('grep "a\\|b" f', ['grep "a\\|b" f']), (None, [])], X.split_segments, "VARCHAR[]")
+vectors("split_segments", [("a; b | c && d", ["a", " b ", " c ", " d"]), ("echo 'x;y' | z", ["echo 'x;y' ", " z"]), ('grep "a\\|b" f', ['grep "a\\|b" f']), (None, [""]), ("tox;", ["tox", ""])], X.split_segments, "VARCHAR[]")
 vectors("compact", [("a\n\n\n\n   b   c", "a\n b c"), ("short", "short"), ("0123456789" * 4, "01234567890123456789\n… [10 chars elided] …\n0123456789")], lambda c: X.compact(c, 30), "VARCHAR")
 vectors("signature", [("at 0xdeadbeef", "at 0xADDR"), ("No file '/a/b/c.txt'", "No file 'c.txt'"), ("x.py:12:3 bad", "x.py:N bad"), ("line 88 of 12345", "line N of N"), ("took 1.5s v1.2", "took Ns v1.2")], X.normalize_signature, "VARCHAR")
 vectors("edit_region", [("a  b\n c", "a b c"), ("", None), (None, None)], X.edit_region, "VARCHAR")
