@@ -124,6 +124,28 @@ def test_neighbours_odd(spark):
     got = sorted(rows(nearest(df), "query_id", "rank", "vec_id", "score"))
     assert got == [(0, 1, 7, 2.0), (0, 2, 20, 1.0), (20, 1, 7, 2.0), (20, 2, 0, 1.0)]
     assert nearest(df.filter("false")).count() == 0
+    wide = spark.createDataFrame([(20, [1.0]), (21, [3.0]), (22, [2.0]), (40, [1.0, 1.0]), (41, [0.5, 0.5])], "vec_id long, embedding array<double>")
+    assert sorted(rows(nearest(wide), "query_id", "rank", "vec_id", "score")) == [(20, 1, 21, 3.0), (20, 2, 22, 2.0), (40, 1, 41, 1.0)]
+
+
+def test_neighbours_of_many_blocks(spark):
+    """Recall against brute force where a block holds a part of the vectors, with copies, and every query gets its full list."""
+    from stridelog.llm.permutation import nearest
+
+    r = np.random.default_rng(2)
+    x = r.normal(size=(3000, 24)) * r.uniform(0.5, 2, size=(3000, 1))
+    x[100:160] = x[100]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for q, _, i, s in sorted(rows(nearest(df, block=700, queries=40), "query_id", "rank", "vec_id", "score")):
+        got.setdefault(q, []).append((i, s))
+    hit = 0
+    for q in range(0, 3000, 20):
+        s = x @ x[q]
+        want = [int(i) for i in np.lexsort((np.arange(3000), -s)) if i != q][:20]
+        assert len(got[q]) == 20 and all(abs(v - s[i]) < 1e-9 for i, v in got[q]) and [v for _, v in got[q]] == sorted((v for _, v in got[q]), reverse=True)
+        hit += len({i for i, _ in got[q]} & set(want))
+    assert hit / (150 * 20) >= 0.9
 
 
 # ---------------------------------------------------------------- SimHash
