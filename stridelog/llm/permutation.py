@@ -47,9 +47,14 @@ class Pivots:
         return np.concatenate([x, np.sqrt(np.maximum(self.norm**2 - (x * x).sum(1), 0))[:, None]], 1)
 
     def nearest(self, x: np.ndarray, query: bool) -> np.ndarray:
-        """[row, place]: the nearest pivots in order, ties to the first pivot."""
-        near, most = (np.concatenate([x, np.zeros((len(x), 1))], 1) if query else self.lift(x)) @ self.pivots.T, self.opened if query else self.posted
-        return np.argsort(-near, axis=1, kind="stable")[:, :most]
+        """[row, place]: the nearest pivots in order."""
+        lifted, most = np.concatenate([x, np.zeros((len(x), 1))], 1) if query else self.lift(x), self.opened if query else self.posted
+        out = np.empty((len(x), most), np.int64)
+        for s in range(0, len(x), 1024):
+            near = lifted[s : s + 1024] @ self.pivots.T
+            at = np.argpartition(-near, most - 1, axis=1)[:, :most]
+            out[s : s + 1024] = np.take_along_axis(at, np.argsort(-np.take_along_axis(near, at, 1), axis=1, kind="stable"), 1)
+        return out
 
 
 class Block:
@@ -161,10 +166,10 @@ def _nearest(rows: DataFrame, width: int, top: int, every: int, posted: int, ope
                 yield pa.RecordBatch.from_arrays([pa.array([(width << 48) ^ (key << 20) ^ n for n in j], pa.int64()), pa.array([ids[n] for n in j], pa.int64()), pa.array(i, pa.int64()), pa.array(s, pa.float64())], names=["query", "query_id", "vec_id", "score"])
 
     def dealt(df: DataFrame, n: int, name: str) -> DataFrame:
-        return df.withColumn(name, F.pmod("h", F.lit(n)).cast("long")).repartition(n, name).sortWithinPartitions(name)
+        return df.withColumn(name, F.pmod("h", F.lit(n)).cast("long")).repartitionById(n, F.col(name).cast("int")).sortWithinPartitions(name)
 
     files = materialize(dealt(distinct, blocks, "block").select("block", "v", "own").mapInArrow(index, ddl), "files")
     asked = dealt(q.withColumn("h", F.xxhash64("vec_id", "v")), q_blocks, "q_block").select("q_block", "v", "vec_id").mapInArrow(ask, "q_block long, x binary, own array<array<long>>")
     none = F.lit(None).cast("binary")
     asked = asked.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")).alias("block"), F.lit(1).alias("kind"), "q_block", "x", "own", none.alias("rows"), none.alias("places"), none.alias("begins"))
-    return files.union(asked).repartition(blocks, "block").sortWithinPartitions("block", "kind", "q_block").mapInArrow(meet, _OUT)
+    return files.union(asked).repartitionById(blocks, F.col("block").cast("int")).sortWithinPartitions("block", "kind", "q_block").mapInArrow(meet, _OUT)
