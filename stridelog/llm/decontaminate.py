@@ -20,13 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import send
+from .common import by_bytes, materialize, send
 
 MASKS = ((0, 1, 2, 4, 5), (0, 1, 4, 6, 7), (0, 2, 5, 6, 7))
 #: Items with fewer tokens are never reported: so few words prove nothing.
 LEAST = 8
 _WORD = re.compile(r"\w+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+_HITS = 1 << 14
 
 
 def words(text: str | None) -> list[str]:
@@ -93,15 +94,17 @@ class Index:
         self.maybe[(self.keys >> np.uint64(42)).astype(np.int64)] = True
 
     def hits(self, ids: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(position in ``ids``, position in the items' tokens) of equal seeds."""
+        """(position in ``ids``, position in the items' tokens) of equal seeds, at most ``_HITS`` at once, however many items share a seed."""
         for k, m in enumerate(self.masks):
             h = seeds(ids, m, k)
             at = np.flatnonzero(self.maybe[(h >> np.uint64(42)).astype(np.int64)])
             lo, hi = np.searchsorted(self.keys, h[at], "left"), np.searchsorted(self.keys, h[at], "right")
             n = hi - lo
-            if n.any():
-                own = np.repeat(at, n)
-                yield own, self.places[np.repeat(lo, n) + (np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n))]
+            ends = np.cumsum(n)
+            for s in range(0, int(ends[-1]) if len(ends) else 0, _HITS):
+                each = np.arange(s, min(s + _HITS, int(ends[-1])))
+                which = np.searchsorted(ends, each, "right")
+                yield at[which], self.places[lo[which] + each - (ends[which] - n[which])]
 
     def verify(self, ids: np.ndarray, begins: np.ndarray, ends: np.ndarray, at: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(item's number, equal tokens, window's length, window's start in ``ids``) of the best window around each hit that reaches the similarity.
@@ -133,7 +136,7 @@ _OUT = [("doc_id", pa.int64()), ("item_id", pa.int64()), ("matched", pa.int32())
 _DDL = "doc_id long, item_id long, matched int, window int, similarity double, start_token long"
 
 
-def matches(index: Index, vocabulary: WordIds, texts, most: int = 1 << 20) -> Iterator[tuple[int, int, int, int, int]]:
+def matches(index: Index, vocabulary: WordIds, texts, most: int = 1 << 19) -> Iterator[tuple[int, int, int, int, int]]:
     """(row, item's number, equal tokens, window, start token) of the best window of each item in each of ``texts`` (an Arrow column)."""
     group, first, held = [], 0, 0
     for row in range(len(texts) + 1):
@@ -142,16 +145,14 @@ def matches(index: Index, vocabulary: WordIds, texts, most: int = 1 << 20) -> It
                 ids, ends = np.concatenate(group), np.cumsum([len(x) for x in group])
                 best: dict[tuple[int, int], tuple[int, int, int]] = {}
                 for at, place in index.hits(ids):
-                    for s in range(0, len(at), 1 << 14):
-                        a, q = at[s : s + (1 << 14)], place[s : s + (1 << 14)]
-                        doc = np.searchsorted(ends, a, "right")
-                        begins = np.where(doc > 0, ends[doc - 1], 0)
-                        for i, m, n, w in zip(*(x.tolist() for x in index.verify(ids, begins, ends[doc], a, q)), strict=True):
-                            d = int(np.searchsorted(ends, w, "right"))
-                            new = (m, n, w - (int(ends[d - 1]) if d else 0))
-                            old = best.get((d, i))
-                            if old is None or (-new[0], new[2]) < (-old[0], old[2]):
-                                best[d, i] = new
+                    doc = np.searchsorted(ends, at, "right")
+                    begins = np.where(doc > 0, ends[doc - 1], 0)
+                    for i, m, n, w in zip(*(x.tolist() for x in index.verify(ids, begins, ends[doc], at, place)), strict=True):
+                        d = int(np.searchsorted(ends, w, "right"))
+                        new = (m, n, w - (int(ends[d - 1]) if d else 0))
+                        old = best.get((d, i))
+                        if old is None or (-new[0], new[2]) < (-old[0], old[2]):
+                            best[d, i] = new
                 for (d, i), (m, n, w) in best.items():
                     yield first + d, i, m, n, w
             group, first, held = [], row, 0
@@ -163,7 +164,7 @@ def matches(index: Index, vocabulary: WordIds, texts, most: int = 1 << 20) -> It
 def _finder(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, vocabulary = pickle.loads(sent.value), WordIds()
-        for batch in batches:
+        for batch in by_bytes(batches, 1):
             ids = batch.column(0)
             rows = [(ids[r].as_py(), int(index.items[i]), m, n, m / n, w) for r, i, m, n, w in matches(index, vocabulary, batch.column(1))]
             if rows:
@@ -187,12 +188,15 @@ def blocks_of(tests: DataFrame, window: int, similarity: float, block_chars: int
 def drop_contaminated(docs: DataFrame, tests: DataFrame, window: int = 20, similarity: float = 0.8, block_chars: int = 4_000_000) -> DataFrame:
     """The rows of ``docs``, with their columns, in which no test item is found: one pass for each block of the test set, no shuffle."""
     at, kept = docs.columns.index("text"), docs
-    for index in blocks_of(tests, window, similarity, block_chars):
+    for k, index in enumerate(blocks_of(tests, window, similarity, block_chars)):
+        if k:  # the block before is done with, and so is its index
+            kept = materialize(kept, "clean")
+            sent.unpersist()
         sent = send(docs.sparkSession, index)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             index, vocabulary = pickle.loads(sent.value), WordIds()
-            for batch in batches:
+            for batch in by_bytes(batches, at):
                 keep = np.ones(batch.num_rows, bool)
                 for r, *_ in matches(index, vocabulary, batch.column(at)):
                     keep[r] = False
@@ -213,8 +217,12 @@ def contaminated(docs: DataFrame, tests: DataFrame, window: int = 20, similarity
     so what is broadcast is bounded, and a larger test set takes more passes.
     """
     narrow = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    found = [narrow.mapInArrow(_finder(send(docs.sparkSession, index)), _DDL) for index in blocks_of(tests, window, similarity, block_chars)]
-    out = found[0]
-    for x in found[1:]:
-        out = out.union(x)
+    out = None
+    for index in blocks_of(tests, window, similarity, block_chars):
+        if out is not None:  # the block before is done with, and so is its index
+            out = materialize(out, "found")
+            sent.unpersist()
+        sent = send(docs.sparkSession, index)
+        part = narrow.mapInArrow(_finder(sent), _DDL)
+        out = part if out is None else out.union(part)
     return out

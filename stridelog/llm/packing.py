@@ -12,6 +12,7 @@ or above the piece's length is the best fit. If no bin fits and all places are t
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -23,13 +24,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import by_bytes, materialize
 
 #: White space of the tokenizer's patterns (Unicode White_Space); str.split() also splits at U+001C to U+001F.
 _SPACE = re.compile("[\t-\r \x85\xa0" + "".join(map(chr, [0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])) + "]+")
 _ODD = re.compile("[\x1c-\x1f]")
 
 
+#: What the shortcut of ``IdBytes`` rests on, in a tokenizer's JSON. Fixed values.
+_NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
@@ -38,6 +43,7 @@ class IdBytes(dict):
 
     ``learn`` encodes many new runs at once: those that are letters with ASCII marks after them are encoded as the lower-case letters
     and the marks apart (the tokenizer splits there too), and all new words of letters in one call, cut at the tokens that end a word.
+    That holds for tokenizers that normalize and split as this one does (``by_run``); with any other each text is encoded whole.
     """
 
     def __init__(self, vocabulary: str, most: int = 600_000):
@@ -49,7 +55,12 @@ class IdBytes(dict):
         super().__init__()
         self.tokenizer, self.most = Tokenizer.from_str(vocabulary), most
         self.letters: dict[str, bytes] = {}
-        n = self.tokenizer.get_vocab_size()
+        spec, n = json.loads(vocabulary), self.tokenizer.get_vocab_size()
+        split = ((spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+        self.by_run = (
+            (spec.get("normalizer") or {}).get("normalizers") == _NORMALIZERS and split.get("pattern") == {"Regex": _SPLIT} and split.get("behavior") == "Removed" and split.get("invert") is True
+            and (spec.get("model") or {}).get("end_of_word_suffix") == "</w>" and spec.get("post_processor") is None
+        )
         self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(n)])
 
     def one(self, run: str) -> bytes:
@@ -145,12 +156,13 @@ def token_pieces(docs: DataFrame, vocabulary: str, space: int = 4096, end_id: in
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = IdBytes(sent.value)
-        for batch in (b.slice(at, 1000) for b in batches for at in range(0, b.num_rows, 1000)):
+        for batch in by_bytes(batches, 1):
             out: list[tuple] = []
-            rows = [(doc_id, runs(text.as_py() or "")) for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True)]
-            words.learn(set(chain.from_iterable(own for _, own in rows)))
+            rows = [(doc_id, runs(t) if words.by_run else t) for doc_id, t in zip(batch.column(0).to_pylist(), (text.as_py() or "" for text in batch.column(1)), strict=True)]
+            if words.by_run:
+                words.learn(set(chain.from_iterable(own for _, own in rows)))
             for doc_id, own in rows:
-                ids = words.encode(own) + end
+                ids = (words.encode(own) if words.by_run else words.one(own)) + end
                 for k, at in enumerate(range(0, len(ids), step)):
                     piece = ids[at : at + step]
                     out.append((doc_id, k, at // 4, len(piece) // 4, zlib.crc32(piece)))

@@ -11,13 +11,14 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import by_bytes, materialize, unused
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -28,6 +29,9 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _TOKEN = re.compile(r"[0-9@]\S*")
 _DIGIT = re.compile(r"[0-9]")
+_WORD = re.compile(r"\S+")
+#: Two to five groups of digits with a blank between each two.
+_GROUPS = re.compile(r"[+(]?[0-9][0-9().-]*(?: [(]?[0-9][0-9().-]*){1,4}(?![^\s\"'`.,;:!?)\]}>])")
 _EDGE = "\"'`.,;:!?()[]{}<>*$%&#|"
 
 
@@ -68,16 +72,35 @@ def base_spans(t: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def _name(w: str) -> str:
+    """``w``, or a hash of it where it is long: compared as a whole either way."""
+    from xxhash import xxh3_128_hexdigest
+
+    return w if len(w) <= 64 else "#" + xxh3_128_hexdigest(w.encode("utf-8", "surrogatepass"))
+
+
 def _word(w: str) -> str:
     """Context words are compared in lower case, digits as 0."""
-    return _DIGIT.sub("0", w[-24:].lower())
+    return _name(_DIGIT.sub("0", w.lower()))
+
+
+class Words:
+    """The whole words of a text, and those beside a span."""
 
+    def __init__(self, t: str):
+        at = [m.span() for m in _WORD.finditer(t)]
+        self.t, self.starts, self.ends = t, [s for s, _ in at], [e for _, e in at]
 
-def contexts(t: str, s: int, e: int) -> list[str]:
+    def beside(self, s: int, e: int) -> tuple[list[str], list[str]]:
+        """(up to two words before, up to one after); of a word that the span cuts, the part outside it."""
+        i, k = bisect_left(self.starts, s), bisect_right(self.ends, e)
+        before = [self.t[self.starts[j] : min(self.ends[j], s)] for j in range(max(0, i - 2), i)]
+        return before, [self.t[max(self.starts[j], e) : self.ends[j]] for j in range(k, min(k + 1, len(self.starts)))]
+
+
+def contexts(words: Words, s: int, e: int) -> list[str]:
     """The lexical patterns around a span: two words before; one before and one after; a label that ends in : or =."""
-    left, right = t[max(0, s - 64) : s], t[e : e + 32]
-    before = [_word(w) for w in left.split()[-2:]]
-    after = [_word(w) for w in right.split()[:1]]
+    before, after = ([_word(w) for w in part] for part in words.beside(s, e))
     out = []
     if len(before) == 2:
         out.append(f"2 {before[0]} {before[1]}")
@@ -95,32 +118,45 @@ def fits(kind: int, token: str) -> bool:
 
 
 def occurrences(t: str, base: list[tuple[int, int, int]]) -> Iterator[tuple[int | None, int, int, str, int, list[str]]]:
-    """(seed's kind, start, end, instance, bits of the kinds that its shape fits, patterns) of seeds and of other identifier-like tokens."""
+    """(seed's kind, start, end, instance, bits of the kinds that its shape fits, patterns) of seeds and of other identifier-like tokens.
+
+    A token stands between white space; groups of digits beside each other are one token if together they have the shape of a kind.
+    """
+    words = Words(t) if base or _TOKEN.search(t) else None
     for s, k, e in base:
-        yield k, s, e, _norm(t[s:e]), 1 << k, contexts(t, s, e)
+        yield k, s, e, _norm(t[s:e]), 1 << k, contexts(words, s, e)
     taken, i, end = sorted((s, e) for s, _, e in base), 0, 0
-    for m in _TOKEN.finditer(t):
-        if m.start() < end:
-            continue
-        s = m.start()
-        while s > end and not t[s - 1].isspace():
-            s -= 1
-        end = e = m.end()
+
+    def trimmed(s: int, e: int) -> tuple[int, int]:
         while s < e and t[s] in _EDGE:
             s += 1
         while s < e and t[e - 1] in _EDGE:
             e -= 1
+        return s, e
+
+    def shapes_of(s: int, e: int) -> int:
+        return sum(1 << k for k in range(4) if fits(k, t[s:e]))
+
+    for m in _TOKEN.finditer(t):
+        if m.start() < end:
+            continue
+        at = words.starts[bisect_right(words.starts, m.start()) - 1] if words.starts else m.start()
+        at, stop = max(at, end), m.end()
+        s, e = trimmed(at, stop)
+        shapes = shapes_of(s, e)
+        if (run := _GROUPS.match(t, at)) and run.end() > stop:
+            s2, e2 = trimmed(at, run.end())
+            if more := shapes_of(s2, e2) & 0b1100:
+                s, e, stop, shapes = s2, e2, run.end(), more
+        end = stop
         while i < len(taken) and taken[i][1] <= s:
             i += 1
-        if e - s > 64 or (i < len(taken) and taken[i][0] < e):
-            continue
-        shapes = sum(1 << k for k in range(4) if fits(k, t[s:e]))
-        if shapes:
-            yield None, s, e, _norm(t[s:e]), shapes, contexts(t, s, e)
+        if shapes and not (i < len(taken) and taken[i][0] < e):
+            yield None, s, e, _norm(t[s:e]), shapes, contexts(words, s, e)
 
 
 def _norm(token: str) -> str:
-    return token.lower().replace(" ", "").replace("-", "")
+    return _name(token.lower().replace(" ", "").replace("-", ""))
 
 
 _OCC = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("instance", pa.string()), ("shapes", pa.int32()), ("patterns", pa.list_(pa.string()))]))
@@ -136,7 +172,7 @@ def scan(docs: DataFrame) -> DataFrame:
     """One stored row for each row of ``docs``: base counts, digest and spans, and the occurrences for the graph. No text is kept."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in by_bytes(batches, 3):
             rows = []
             for uid, doc_id, h, text in zip(*(c.to_pylist() for c in batch.columns[:3]), batch.column(3), strict=True):
                 t = text.as_py() or ""
@@ -152,12 +188,13 @@ def scan(docs: DataFrame) -> DataFrame:
     return materialize(docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text")).mapInArrow(run, _SCAN_DDL), "pii")
 
 
-def bootstrap(scanned: DataFrame, rounds: int = 4, least: int = 3, trust: float = 0.8, accept: float = 0.9) -> DataFrame:
-    """instance, kind: instances that are no seeds but that trusted patterns support, in ``rounds`` rounds at most.
+def bootstrap(scanned: DataFrame, least: int = 3, trust: float = 0.8, accept: float = 0.9, most_rounds: int = 100) -> DataFrame:
+    """instance, kind: instances that are no seeds but that trusted patterns support.
 
     A pattern is trusted for a kind if it has ``least`` distinct instances of that kind and they are ``trust`` of all its distinct instances;
     its confidence is that share with one more failure. An instance is accepted for a kind that its shape fits if the chance that all its
-    trusted patterns err is at most 1 - ``accept``; of several kinds the likeliest, ties to the first.
+    trusted patterns err is at most 1 - ``accept``; of several kinds the likeliest, ties to the first. What is accepted stays accepted, so
+    rounds end when one accepts nothing new; it raises if ``most_rounds`` were not enough.
     """
     occ = scanned.select(F.explode("occ").alias("o")).select("o.*")
     # one row for each pattern and instance, however often they meet
@@ -167,26 +204,23 @@ def bootstrap(scanned: DataFrame, rounds: int = 4, least: int = 3, trust: float
     # a pattern with fewer instances than that can't be trusted now or later
     big = graph.groupBy("pattern").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
     graph = materialize(graph.join(big.select(F.col("pattern").alias("p")), F.col("pattern") == F.col("p"), "left_semi"), "graph")
-    found = None
-    for _ in range(rounds):
-        if found is None:
-            labelled = graph.withColumn("label", F.col("seed"))
-        else:
-            labelled = graph.join(found.select(F.col("instance").alias("i"), F.col("kind").alias("k")), F.col("instance") == F.col("i"), "left").withColumn("label", F.coalesce("seed", "k"))
+    found = graph.select("instance", F.lit(0).alias("kind")).filter("false")
+    for _ in range(most_rounds):
+        known = found.select(F.col("instance").alias("i"), F.col("kind").alias("k"))
+        labelled = graph.join(known, F.col("instance") == F.col("i"), "left").withColumn("label", F.coalesce("seed", "k"))
         counts = [F.count_if(F.col("label") == k).alias(f"c{k}") for k in range(len(KINDS))]
         stats = labelled.groupBy("pattern").agg(F.count("*").alias("n"), *counts)
         trusted = stats.select("pattern", "n", F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.col(f"c{k}").alias("c")) for k in range(len(KINDS))))).alias("x")).select(
             F.col("pattern").alias("p"), F.col("x.k").alias("tk"), (F.col("x.c") / (F.col("n") + 1)).alias("conf"), "n", F.col("x.c").alias("c")
         )
         trusted = materialize(trusted.filter((F.col("c") >= least) & (F.col("c") >= trust * F.col("n"))).select("p", "tk", "conf"), "trusted")
-        pairs = graph.filter("seed IS NULL").join(trusted, (F.col("pattern") == F.col("p")) & (F.expr("shapes & shiftleft(1, tk)") != 0))
+        pairs = labelled.filter("label IS NULL").join(trusted, (F.col("pattern") == F.col("p")) & (F.expr("shapes & shiftleft(1, tk)") != 0))
         score = pairs.groupBy("instance", "tk").agg((1 - F.exp(F.sum(F.log(1 - F.col("conf"))))).alias("score")).filter(F.col("score") >= accept)
         new = materialize(score.groupBy("instance").agg(F.max_by("tk", F.struct("score", -F.col("tk"))).alias("kind")), "found")
-        size = new.count()
-        if not size or (found is not None and size == found.count()):
-            return new
-        found = new
-    return found
+        if new.isEmpty():
+            return found
+        found = found.union(new)
+    raise RuntimeError("identifiers were still being accepted after the last round")
 
 
 def find_pii(docs: DataFrame, **options) -> tuple[DataFrame, DataFrame]:
@@ -229,13 +263,14 @@ def redact(docs: DataFrame) -> DataFrame:
     A null text stays null. Extra spans are matched by doc_id and a hash of the text; the join is a broadcast only if their stored size allows it.
     """
     _, extra = find_pii(docs)
-    more = extra.groupBy(F.col("doc_id").alias("_d"), F.col("h").alias("_h")).agg(F.array_distinct(F.collect_list(F.struct("start", "k", "end"))).alias("_more"))
+    d, h, spans = unused(docs, "_d", "_h", "_more")
+    more = extra.groupBy(F.col("doc_id").alias(d), F.col("h").alias(h)).agg(F.array_distinct(F.collect_list(F.struct("start", "k", "end"))).alias(spans))
     more = materialize(more, "more")
-    joined = docs.join(more, docs["doc_id"].eqNullSafe(F.col("_d")) & (F.xxhash64(docs["text"].cast("string")) == F.col("_h")), "left").drop("_d", "_h")
+    joined = docs.join(more, docs["doc_id"].cast("long").eqNullSafe(F.col(d)) & (F.xxhash64(docs["text"].cast("string")) == F.col(h)), "left").drop(d, h)
     fields, at = docs.schema, docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in by_bytes(batches, at):
             texts = []
             for text, more in zip(batch.column(at), batch.column(batch.num_columns - 1), strict=True):
                 t = text.as_py()

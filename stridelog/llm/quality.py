@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, send
+from .common import by_bytes, materialize, send, unused
 
 BITS = 22
 _EDGE = "\"'`.,;:!?()[]{}<>*$%&#|-_"
@@ -58,7 +58,9 @@ class Hashed(dict):
             if len(self.shapes) < 10_000:
                 self.shapes[case, tail] = shape
         n, digest = len(low), self.hash
-        words = [digest(low[:64].encode("utf-8", "surrogatepass")) >> (64 - BITS)] if n else []
+        words = [digest(low.encode("utf-8", "surrogatepass")) >> (64 - BITS)] if n else []
+        if n > 64:  # a text without white space: overlapping parts of it count
+            words += [digest(f"part {low[k : k + 16]}".encode("utf-8", "surrogatepass")) >> (64 - BITS) for k in range(0, n - 15, 8)]
         for k in (4, 5, 6):
             if n >= k:
                 words.append(digest(f"{k} {low[:k]}".encode("utf-8", "surrogatepass")) >> (64 - BITS))
@@ -195,22 +197,23 @@ def train(docs: DataFrame, ratings: DataFrame, grades: int = 3, per_grade: int =
     return Model({b: float(weights[k]) for b, k in column.items() if k < len(weights)}, [float(t) for t in thresholds])
 
 
-def score(docs: DataFrame, model: Model, keep_columns: list[str] | None = None, name: str = "tail") -> DataFrame:
-    """``keep_columns`` of ``docs`` (default: doc_id) with expected_grade and ``name`` (P of the best grade), from whole texts. A null text is empty."""
+def score(docs: DataFrame, model: Model, keep_columns: list[str] | None = None, names: tuple[str, str] = ("expected_grade", "tail")) -> DataFrame:
+    """``keep_columns`` of ``docs`` (default: doc_id) with the expected grade and the tail (P of the best grade) under ``names``, from whole texts. A null text is empty."""
     sent, keep = send(docs.sparkSession, model), keep_columns if keep_columns is not None else ["doc_id"]
     at = len(keep)
+    text, expected, tail = unused(docs, "_text", "_expected", "_tail")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pickle.loads(sent.value)
         w = model.weights
         hashed = Hashed(w)
-        for batch in batches:
+        for batch in by_bytes(batches, at):
             tails = [model.tails(sum(w[b] * x for b, x in hashed.features(t.as_py() or "").items())) for t in batch.column(at)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array([sum(t) for t in tails], pa.float64()), pa.array([t[-1] for t in tails], pa.float64())], names=[*batch.schema.names[:at], "_expected", "_tail"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array([sum(t) for t in tails], pa.float64()), pa.array([t[-1] for t in tails], pa.float64())], names=[*batch.schema.names[:at], expected, tail])
 
-    narrow = docs.select(*keep, F.col("text").cast("string").alias("_text"))
-    ddl = ", ".join([*(f"`{n}` {t}" for n, t in docs.select(*keep).dtypes), "_expected double", "_tail double"])
-    return narrow.mapInArrow(run, ddl).withColumnsRenamed({"_expected": "expected_grade", "_tail": name})
+    narrow = docs.select(*keep, F.col("text").cast("string").alias(text))
+    ddl = ", ".join([*(f"`{n}` {t}" for n, t in docs.select(*keep).dtypes), f"`{expected}` double", f"`{tail}` double"])
+    return narrow.mapInArrow(run, ddl).withColumnsRenamed({expected: names[0], tail: names[1]})
 
 
 def graded(labels: DataFrame) -> DataFrame:
@@ -235,5 +238,5 @@ def classify(docs: DataFrame, labels: DataFrame, least: float = KEEP, **options)
 def select_documents(docs: DataFrame, labels: DataFrame, least: float = KEEP, **options) -> DataFrame:
     """The rows of ``docs``, with their columns, whose tail probability is ``least`` or more."""
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    scored = score(docs, train(narrow, graded(labels), **options), docs.columns, name="_tail_of_best")
-    return scored.filter(F.col("_tail_of_best") >= least).select(*docs.columns)
+    grade, best = unused(docs, "_grade", "_best")
+    return score(docs, train(narrow, graded(labels), **options), docs.columns, (grade, best)).filter(F.col(best) >= least).select(*docs.columns)

@@ -6,10 +6,10 @@ Sorting all suffixes of a corpus would move every byte position. Instead suffixe
 
 1. Every string of ``length`` bytes is assigned to one anchor, the least 32-gram in it, which its bytes alone decide, so equal strings always share their
    anchor's gram: these q-gram buckets are the initial buckets, about one suffix group for each 35 bytes. Neighbouring strings with one anchor travel as one row.
-2. In a bucket, rows are refined by the identifier of everything that their strings cover. Rows equal in both are equal in all their strings: only the earliest
-   can be a first occurrence. Buckets that fall apart into several identifiers keep one row of each, undecided.
+2. In a bucket, rows are refined by the identifier (a 64-bit hash beside the gram's own) of everything that their strings cover. Rows equal in both are taken as equal in all their strings:
+   only the earliest can be a first occurrence. Buckets that fall apart into several identifiers keep one row of each, undecided.
 3. The undecided rows' bytes are cut from the texts and their suffixes sorted by bucket-pointer refinement: 8-gram buckets, then buckets of pairs (bucket of a suffix, bucket of
-   the suffix 8, 16, 32, ... later), each round using the identifiers that the last one made and leaving single buckets alone, to the full length. Exact bytes decide here.
+   the suffix 8, 16, 32, ... later), each round using the identifiers that the last one made and leaving single buckets alone, to the full length. Exact bytes decide in this step; the steps before compare 128 bits of hash.
 
 Rows that a task already knows to be repeats don't travel. A bucket with more than ``crowd`` undecided rows is not sorted in one task: its strings are dealt by their own
 identifiers instead, where equal ones are again merged before they travel, so no key gathers more than one row of a batch.
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import find_anchors
-from .common import materialize
+from .common import by_bytes, materialize
 from .sharding import global_prefix
 
 LENGTH = 100
@@ -203,7 +203,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts with their undecided rows -> the rows with their bytes; those of crowded keys as single strings by their own identifiers."""
     single: list[tuple[np.ndarray, ...]] = []
     held = 0
-    for batch in (b.slice(at, 500) for b in batches for at in range(0, b.num_rows, 500)):
+    for batch in by_bytes(batches, 1):
         doc, lo, hi, key, raw = [], [], [], [], []
         for d, text, own in zip(batch.column("doc").to_pylist(), batch.column("raw"), batch.column("own").to_pylist(), strict=True):
             if not own:

@@ -366,3 +366,90 @@ def test_secrets(spark, none):
     got = {r.doc_id: r.is_secret for r in S.scan_secrets(df).collect()}
     assert got == {1: True, 2: False}
     assert S.scan_secrets(none).count() == 0
+
+
+def bootstrap_by_hand(occ, least=3, trust=0.8, accept=0.9):
+    """The graph of patterns and instances in plain Python: {instance: kind} accepted at the fixed point."""
+    seed, shapes, at = {}, {}, {}
+    for k, _, _, instance, own, patterns in occ:
+        for p in patterns:
+            at.setdefault(p, set()).add(instance)
+            shapes[p, instance] = shapes.get((p, instance), 0) | own
+            if k is not None:
+                seed[p, instance] = min(k, seed.get((p, instance), 9))
+    at = {p: own for p, own in at.items() if len(own) >= least}
+    found = {}
+    while True:
+        score = {}
+        for p, own in at.items():
+            label = {i: seed.get((p, i), found.get(i)) for i in own}
+            for k in range(4):
+                n = sum(v == k for v in label.values())
+                if n >= least and n >= trust * len(own):
+                    for i in own:
+                        if label[i] is None and shapes[p, i] >> k & 1:
+                            score[i, k] = score.get((i, k), 1.0) * (1 - n / (len(own) + 1))
+        new = {}
+        for (i, k), miss in sorted(score.items()):
+            if 1 - miss >= accept - 1e-12 and (i not in new or 1 - miss > new[i][0]):
+                new[i] = (1 - miss, k)
+        if not new:
+            return found
+        found |= {i: k for i, (_, k) in new.items()}
+
+
+def test_bootstrapping_against_a_plain_graph(spark):
+    """Chains of patterns (each round's finds support the next round's pattern), long tokens and spaced groups, against the plain graph."""
+    from stridelog.llm.pii import base_spans, bootstrap, occurrences, scan
+
+    texts = [f"please write to: user{i}@site{i}.org thanks a lot" for i in range(40)]
+    texts += [f"please write to: agent{i}@intra thanks a lot" for i in range(8)]
+    texts += [f"you can find agent{i}@intra there" for i in range(8)] + [f"you can find clerk@{'desk' * n} there" for n in (1, 30)]
+    texts += [f"ring my phone: +1 555 01{i:02d} 4567 now" for i in range(14)] + [f"ring my phone: 020 7946 0{i:02d}1 now" for i in range(3)]
+    texts += ["", None, "the score was 12@home 3"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    occ = [o for t in texts for o in occurrences(t or "", base_spans(t or ""))]
+    want = bootstrap_by_hand(occ)
+    got = {r.instance: r.kind for r in bootstrap(scan(df)).collect()}
+    assert got == want
+    assert {"agent3@intra", "clerk@desk", "02079460021"} <= set(got) and any(i.startswith("#") for i in got)
+
+
+def test_shared_preambles_and_blocks(spark):
+    """Many items that share a hot seed, substitutions of up to a fifth, and texts just below the bound, against brute force."""
+    from stridelog.llm.decontaminate import contaminated, words
+
+    r = random.Random(8)
+    head = [f"p{k}" for k in range(9)]
+    items = [(k, " ".join([*head, *(f"i{k}x{j}" for j in range(16))])) for k in range(40)]
+    docs = []
+    for d in range(60):
+        w = items[d % 40][1].split()
+        for k in r.sample(range(len(w)), d % 9):
+            w[k] = "sub"
+        docs.append((d, " ".join([*(f"f{d}y{j}" for j in range(d % 4)), *w, "end"])))
+    want = set()
+    for d, t in docs:
+        a = words(t)
+        for i, q in items:
+            b = words(q)
+            if any(sum(x == y for x, y in zip(a[s : s + 20], b[w : w + 20], strict=True)) >= 16 for s in range(len(a) - 19) for w in range(len(b) - 19)):
+                want.add((d, i))
+    tests = spark.createDataFrame(items, "item_id long, text string")
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert 20 < len(want) < 60
+    assert set(rows(contaminated(df, tests), "doc_id", "item_id")) == want
+    assert set(rows(contaminated(df, tests, block_chars=1500), "doc_id", "item_id")) == want
+
+
+def test_other_tokenizers_encode_whole_texts(spark):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    from stridelog.llm.packing import IdBytes, default_vocabulary, token_pieces
+
+    t = Tokenizer(models.WordLevel({"[U]": 0, "a b": 5, "a": 1, "b": 2, "A": 3}, unk_token="[U]"))
+    t.pre_tokenizer = pre_tokenizers.Split(",", "removed")
+    assert IdBytes(default_vocabulary()).by_run and not IdBytes(t.to_str()).by_run
+    got = token_pieces(spark.createDataFrame([(1, "a b,A,a"), (2, None)], "doc_id long, text string"), t.to_str()).collect()
+    ids = np.array(t.encode("a b,A,a", add_special_tokens=False).ids + [1], "<u4")
+    assert ids.tolist() == [5, 3, 1, 1] and {r.doc_id: (r.length, r.ids_crc32) for r in got}[1] == (4, zlib.crc32(ids.tobytes()))
