@@ -6,7 +6,7 @@ and transitions of character classes, dictionary coverage), of its path and of t
 findings gives the chance that it is a secret. Everything is DataFrame and ML-pipeline expressions in the JVM.
 
 Texts aren't shuffled: they are cut at the candidates where they are read, and only each candidate with at most
-64 characters before and 32 after it moves on.
+256 characters before and 64 after it moves on.
 """
 
 from __future__ import annotations
@@ -68,11 +68,11 @@ def with_features(found: DataFrame) -> DataFrame:
     words = "|".join(sorted(DICTIONARY.split(), key=lambda w: (-len(w), w)))
     near = F.regexp_extract(left, r"(\S*\s*\S*\s*\S*)$", 1)  # the last three words before it
     values = {
-        "length": F.least(n, F.lit(400)),
+        "length": n,
         "digits": _share(c, "0-9"), "upper": _share(c, "A-Z"), "lower": _share(c, "a-z"), "symbols": 1 - _share(c, "A-Za-z0-9"),
         "switches": F.regexp_count(c, F.lit("(?<=[a-z])(?=[^a-z])|(?<=[A-Z])(?=[^A-Z])|(?<=[0-9])(?=[^0-9])|(?<=[^A-Za-z0-9])(?=[A-Za-z0-9])")) / n,
         "vowel_turns": F.regexp_count(low, F.lit("(?<=[aeiou])(?=[b-df-hj-np-tv-z])|(?<=[b-df-hj-np-tv-z])(?=[aeiou])")) / n,
-        "distinct": F.size(F.array_distinct(F.split(F.substring(c, 1, 400), ""))) / F.least(n, F.lit(64)),
+        "distinct": F.size(F.array_distinct(F.split(c, ""))) / F.least(n, F.lit(64)),
         "hex": low.rlike("^[0-9a-f]+$").cast("int"),
         "uuid": low.rlike("^[0-9a-f]{8}-([0-9a-f]{4}-){3}[0-9a-f]{12}$").cast("int"),
         "coverage": 1 - F.length(F.regexp_replace(low, words, "")) / n,
@@ -98,44 +98,76 @@ def candidates(docs: DataFrame, path: str = "source") -> DataFrame:
     cut = d.select("_uid", "doc_id", "path", F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)).alias("own"), F.split("text", CANDIDATE).alias("gaps"))
     pieces = cut.select(
         "_uid", "doc_id", "path",
-        F.explode(F.expr("transform(sequence(0, size(own) - 1), i -> struct(i as i, own[i] as candidate, length(gaps[i]) as gap, right(gaps[i], 64) as left, left(gaps[i + 1], 32) as right))")).alias("p"),
+        F.explode(F.expr("transform(sequence(0, size(own) - 1), i -> struct(i as i, own[i] as candidate, length(gaps[i]) as gap, right(gaps[i], 256) as left, left(gaps[i + 1], 64) as right))")).alias("p"),
     ).select("_uid", "doc_id", "path", "p.*")
     before = Window.partitionBy("_uid").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = pieces.withColumn("end", F.sum(F.col("gap") + F.length("candidate")).over(before))
     return placed.select("doc_id", "path", (F.col("end") - F.length("candidate")).alias("start"), "end", "candidate", "left", "right")
 
 
-def example_findings(spark: SparkSession, each: int = 120) -> DataFrame:
-    """Labelled findings (candidate, left, right, path, label) made from fixed templates and hashes: ``each`` rows of every template."""
-    h, b = "sha2(concat('s', t, '-', id), 256)", "translate(base64(unhex(sha2(concat('b', t, '-', id), 256))), '/+', 'xY')"
-    word = "element_at(array('load','user','Session','cache','Item','render','Table','request','Index','config','Module','image'), cast(1 + pmod(id * {0} + {1}, 12) as int))"
-    words = "concat(" + ", '_', ".join(word.format(a, c) for a, c in ((7, 1), (5, 3), (11, 2), (1, 5))) + ", pmod(id, 90))"
-    phrase = "concat(" + ", ' ', ".join(word.format(a, c) for a, c in ((5, 1), (7, 3), (11, 5), (1, 2))) + ")"
-    say = "element_at(array('the value is','and then','we see that','of this','in some','it was'), cast(1 + pmod(id, 6) as int))"
-    yes = [
-        (f"left({h}, 40)", "concat({say}, ' token = \"')", "'\" and'", "src/app.py"), (f"left({h}, 32)", "concat({say}, ' api_key: ')", "' '", "config/settings.yml"), (f"{h}", "' secret = '''", "''''", "deploy/prod.env"),
-        (f"concat('AKIA', upper(left({b}, 16)))", "concat({say}, ' ')", "' {say}'", "notes/a.txt"), (f"concat('ghp_', left({b}, 36))", "' auth: '", "' '", "ci/run.sh"), (f"left({b}, 40)", "' password = \"'", "'\"'", "src/db.py"),
-        (f"concat('sk_live_', left({b}, 24))", "concat({say}, ' key ')", "', '", "app/pay.js"), (f"concat('xoxb-', pmod(id * 7919, 899999) + 100000, '-', left({b}, 24))", "' bearer '", "' '", "bot/main.py"), (f"left({h}, 48)", "concat({say}, ' access_key=')", "' '", "source"),
-        (f"translate(left({b}, 20), '0123456789', 'qRsTuVwXyZ')", "concat({say}, ' token = \"')", "'\" and'", "src/app.py"), (f"concat(left({b}, 5), element_at(array('@','!','$','#'), cast(1 + pmod(id, 4) as int)), pmod(id * 7919, 89) + 10, '!')", "concat({say}, ' password: ')", "' {say}'", "config/site.yml"),
-        (f"concat({phrase}, element_at(array('!','?','.','$'), cast(1 + pmod(id, 4) as int)))", "' passphrase = \"'", "'\"'", "deploy/prod.env"), (f"concat({word.format(7, 1)}, pmod(id * 31, 9000), element_at(array('@','!','$','.'), cast(1 + pmod(id, 4) as int)), left({b}, 3))", "' pwd = '''", "''''", "src/db.py"),
-    ]
-    no = [
-        (f"left({h}, 40)", "' commit '", "' by'", "CHANGELOG"), (f"left({h}, 32)", "' md5 checksum: '", "' file'", "dist/sums.txt"), (f"{h}", "' sha256 digest = '", "' '", "pkg/lock"),
-        (f"regexp_replace(left({h}, 32), '(.{{8}})(.{{4}})(.{{4}})(.{{4}})(.{{12}})', '$1-$2-$3-$4-$5')", "concat({say}, ' id ')", "' '", "source"), (words, "concat({say}, ' ')", "' {say}'", "src/view.py"), (f"concat('your-api-key-example-', pmod(id, 1000))", "' api_key = \"'", "'\"'", "docs/readme.md"),
-        (f"concat(left({h}, 16), '/', {words})", "' https://cdn.site/'", "'.png'", "web/page.html"), (f"concat('2024', lpad(pmod(id, 12) + 1, 2, '0'), lpad(pmod(id, 28) + 1, 2, '0'), '-', pmod(id * 7919, 899999) + 100000, '-', pmod(id, 97))", "' run '", "' '", "log.txt"),
-        (f"concat(pmod(id * 104729, 899999) + 100000, pmod(id * 7919, 899999) + 100000, pmod(id * 31, 89999) + 10000)", "concat({say}, ' ')", "' '", "source"), (f"left({h}, 40)", "' token = \"'", "'\"'", "tests/fixture/sample.py"), (f"concat({words}, '=', pmod(id, 1000))", "'?'", "'&'", "url.txt"),
-        ("concat('0000000000', repeat(cast(pmod(id, 10) as string), 10 + pmod(id, 9)))", "' key: '", "' '", "config.yml"),
-        (f"concat({word.format(5, 1)}, '.', {word.format(7, 2)})", "' token = '", "'()'", "src/app.py"), (f"lower({word.format(5, 1)})", "concat({say}, ' password: ')", "' {say}'", "source"), (f"concat('your_', lower({word.format(7, 3)}))", "' password = \"'", "'\"'", "src/db.py"),
-        (f"concat({word.format(5, 1)}, {word.format(7, 3)}, {word.format(11, 5)}, {word.format(1, 2)})", "' name = \"'", "'\"'", "src/view.py"), (f"concat({word.format(5, 1)}, '-', pmod(id, 100), '.js')", "' file \"'", "'\"'", "src/view.py"),
-    ]
-    out = None
-    for t, (label, (c, left, right, path)) in enumerate([(1, x) for x in yes] + [(0, x) for x in no]):
-        say_sql = say
-        c, left = c.replace("t, '-'", f"{t}, '-'"), left.replace("{say}", say_sql)
-        right = "concat(' ', " + say_sql + ")" if "{say}" in right else right
-        part = spark.range(0, each, 1, 1).select(F.expr(c).alias("candidate"), F.expr(left).alias("left"), F.expr(right).alias("right"), F.lit(path).alias("path"), F.lit(float(label)).alias("label"), F.lit(t).alias("template"))
-        out = part if out is None else out.union(part)
-    return out
+#: Kinds of values, as SQL over ``id``, ``h`` (64 hex digits), ``b`` (43 of base 64, letters and digits) ``w0`` to ``w3`` (words of the dictionary), ``v0`` and ``v1`` (made-up words), ``m`` (a mark). The first six are secrets.
+KINDS = {
+    "hex": "left(h, element_at(array(32, 40, 48, 64), 1 + pmod(id, 4)))",
+    "base64": "left(b, 20 + pmod(id, 24))",
+    "prefixed": "element_at(array(concat('AKIA', upper(left(b, 16))), concat('ghp_', left(b, 36)), concat('sk_live_', left(b, 24)), concat('xoxb-', pmod(id * 7919, 899999) + 100000, '-', left(b, 24)), concat('AIza', left(b, 35))), 1 + pmod(id, 5))",
+    "letters": "translate(left(b, 18 + pmod(id, 14)), '0123456789', 'qRsTuVwXyZ')",
+    "password": "element_at(array(concat(w0, m, pmod(id * 31, 9000), left(b, pmod(id, 4))), concat(lower(v0), pmod(id * 31, 100), m), concat(translate(w1, 'aeos', '@30$'), m, v0), concat(left(b, 4), m, left(h, 4), m), concat(v0, m, pmod(id * 31, 1000), w2), concat(translate(v0, 'aeos', '430$'), m, left(b, 2)), concat(w1, v1, pmod(id, 1000), m)), 1 + cast(pmod(xxhash64(id, 20), 7) as int))",
+    "phrase": "concat(concat_ws(element_at(array(' ', ', ', '-', ' '), 1 + cast(pmod(xxhash64(id, 21), 4) as int)), w0, v0, w2, v1), element_at(array('!', '?', '.', '', m), 1 + cast(pmod(xxhash64(id, 22), 5) as int)))",
+    "uuid": "regexp_replace(left(h, 32), '(.{8})(.{4})(.{4})(.{4})(.{12})', '$1-$2-$3-$4-$5')",
+    "digits": "concat(pmod(id * 104729, 899999) + 100000, pmod(id * 7919, 899999) + 100000, pmod(id * 31, 89999) + 10000)",
+    "stamp": "concat('2024', lpad(pmod(id, 12) + 1, 2, '0'), lpad(pmod(id, 28) + 1, 2, '0'), '-', pmod(id * 7919, 899999) + 100000, '-', pmod(id, 97))",
+    "name": "concat(w0, '_', v0, '_', w2, '_', w3, pmod(id, 90))",
+    "camel": "concat(w0, w1, v0, w3)",
+    "call": "concat(w0, '.', w1, element_at(array('', '()', '_id'), 1 + pmod(id, 3)))",
+    "word": "if(pmod(id, 2) = 0, lower(concat(w0, left(w1, pmod(id, 6)))), concat(v0, v1))",
+    "placeholder": "element_at(array(concat('your-api-key-example-', pmod(id, 1000)), concat('your_', lower(w0)), concat('changeme', pmod(id, 100)), concat('0000000000', repeat(cast(pmod(id, 10) as string), 10 + pmod(id, 9))), concat('<insert-', lower(w1), '-here>')), 1 + pmod(id, 5))",
+    "file": "concat(w0, '-', pmod(id, 100), '.', pmod(id, 7), element_at(array('.js', '.tar.gz', '.png'), 1 + pmod(id, 3)))",
+    "path": "concat(lower(w0), '/', lower(w1), '-', pmod(id, 1000), '/', left(h, 12))",
+}
+#: Where a value stands: (SQL of what is before it, what is after it), over ``say`` (common words), ``cue`` (a secret's name), ``noun`` and ``mark`` (a digest's name).
+PLACES = {
+    "quoted": ("concat(say, ' ', cue, ' = \"')", "'\" and'"), "bare": ("concat(say, ' ', cue, ': ')", "concat(' ', say)"), "joined": ("concat('export ', upper(cue), '=')", "' '"), "json": ("concat('{\"', cue, '\": \"')", "'\",'"), "told": ("concat(say, ' ', cue, ' is ')", "', '"),
+    "plain": ("concat(say, ' ')", "concat(' ', say)"), "named": ("concat(say, ' ', noun, ' = \"')", "'\"'"), "digest": ("concat(say, ' ', mark, ' ')", "' by'"), "digest_of": ("concat(cue, ' ', mark, ': ')", "' '"), "url": ("concat('https://', lower(noun), '.site/')", "concat('?', say)"),
+}
+_CUED, _SECRETS = ("quoted", "bare", "joined", "json", "told"), ("hex", "base64", "prefixed", "letters", "password", "phrase")
+
+
+def label_of(kind: str, place: str) -> int | None:
+    """What a reviewer says of a value of that kind in that place; None where it can't be told."""
+    if (kind == "phrase" and place in ("bare", "joined", "told")) or (kind == "letters" and place == "told"):
+        return None  # nothing shows where it ends, or that it is no word
+    if place in _CUED:
+        return 1 if kind in _SECRETS else None if kind in ("uuid", "digits") else 0
+    if kind == "prefixed":
+        return 1 if place in ("plain", "named") else None
+    if kind == "base64":
+        return 1 if place == "named" else None
+    return None if kind in ("password", "phrase", "letters") else 0
+
+
+def example_findings(spark: SparkSession, each: int = 40) -> DataFrame:
+    """Labelled findings: candidate, left, right, path, label, kind, place; ``each`` rows of every pair of kind and place that has a label.
+
+    Secrets named as such below a path of tests or examples are labelled 0: what stands there is made up. Values are drawn from hashes of row numbers.
+    """
+    cells = [(k, c, label) for k in KINDS for c in PLACES if (label := label_of(k, c)) is not None]
+    pick = lambda values, at: "element_at(array(" + ", ".join("'" + v + "'" for v in values) + f"), 1 + cast(pmod({at}, {len(values)}) as int))"
+    words = DICTIONARY.split()[::7]
+    d = spark.range(0, each * len(cells), 1, 2).select(F.col("id").cast("int").alias("id"))
+    for name, sql in {
+        "cell": f"cast(pmod(id, {len(cells)}) as int)", "h": "sha2(concat('s', id), 256)", "b": "translate(base64(unhex(sha2(concat('b', id), 256))), '/+=', 'xYz')",
+        **{f"w{k}": pick([w.title() if k % 2 else w for w in words], f"xxhash64(id, {k})") for k in range(4)},
+        "v0": "translate(substring(h, 9, 4 + pmod(id, 4)), '0123456789abcdef', 'etaoinshrdlumcfb')", "v1": "translate(substring(h, 30, 3 + pmod(id, 5)), '0123456789abcdef', 'etaoinshrdlumcfb')", "m": pick(["@", "!", "$", "#", "%", "*", "^", "&"], "xxhash64(id, 8)"),
+        "say": pick(["the value is", "and then", "we see that", "of this", "in some", "it was", "please note"], "xxhash64(id, 9)"), "cue": pick(["token", "api_key", "password", "secret", "client_secret", "access_key", "auth_token", "private_key", "passwd", "bearer"], "xxhash64(id, 10)"),
+        "noun": pick(["name", "title", "value", "item", "theme", "region", "label", "view"], "xxhash64(id, 11)"), "mark": pick(["commit", "md5 checksum", "sha256 digest", "etag", "revision", "integrity", "uuid"], "xxhash64(id, 12)"),
+        "path": pick(["src/app.py", "config/settings.yml", "deploy/prod.env", "notes/a.txt", "ci/run.sh", "web", "source", "tests/fixture/sample.py", "docs/readme.md"], "xxhash64(id, 13)"),
+    }.items():
+        d = d.withColumn(name, F.expr(sql))
+    chosen = lambda values, by: F.expr("CASE " + by + " " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in values.items()) + " END")
+    at = lambda k: F.get(F.array(*(F.lit(c[k]) for c in cells)), F.col("cell"))
+    d = d.withColumns({"kind": at(0), "place": at(1), "label": at(2)})
+    label = F.when(F.col("place").isin(*_CUED) & (F.col("kind") != "prefixed") & F.col("path").rlike("^(tests|docs)/"), 0).otherwise(F.col("label"))
+    return d.select(chosen(KINDS, "kind").alias("candidate"), chosen({k: v[0] for k, v in PLACES.items()}, "place").alias("left"), chosen({k: v[1] for k, v in PLACES.items()}, "place").alias("right"), "path", label.cast("double").alias("label"), "kind", "place")
 
 
 def train(labelled: DataFrame, trees: int = 24, depth: int = 7, seed: int = 17) -> RandomForestClassificationModel:

@@ -2,6 +2,7 @@
 
 import os
 import random
+import re
 import sys
 import zlib
 
@@ -14,6 +15,7 @@ import brute
 from stridelog.llm import queries as Q
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+WIDER = "/root/testdata/sf0.01"  # the smallest given table with planted secrets
 WORDS = "alpha beta gamma delta river stone cloud paper green seven window garden copper market signal motion harbor winter letter bridge".split()
 
 
@@ -355,10 +357,15 @@ def test_secrets(spark, none):
 
     from stridelog.llm import secrets as S
 
-    rows_ = S.example_findings(spark, 60)
-    train, test = rows_.filter(F.pmod(F.xxhash64("candidate"), F.lit(4)) > 0), rows_.filter(F.pmod(F.xxhash64("candidate"), F.lit(4)) == 0)
-    scored = S.classify(test, S.train(train)).withColumn("ok", (F.col("probability") >= 0.5) == (F.col("label") == 1))
-    assert scored.agg(F.avg(F.col("ok").cast("int"))).first()[0] >= 0.95
+    found = S.example_findings(spark).cache()
+    assert found.select("candidate", "left").distinct().count() > 4900
+    # places and kinds that the forest has never seen
+    for out in (F.col("place").isin("json", "digest_of"), F.col("kind").isin("letters", "uuid", "camel")):
+        scored = S.classify(found.filter(out), S.train(found.filter(~out))).groupBy("label").agg(F.avg(((F.col("probability") >= 0.5) == (F.col("label") == 1)).cast("int")).alias("right")).collect()
+        assert len(scored) == 2 and sum(r.right for r in scored) / 2 >= 0.85, scored
+    planted = {(r.doc_id, m.start(1), m.end(1)) for r in spark.read.parquet(f"{WIDER}/documents.parquet").collect() for m in re.finditer(r'token = "([0-9a-f]{40})"', r.text or "")}
+    said = rows(Q.op4_secret_forest(spark, WIDER).filter("is_secret"), "doc_id", "start", "end")
+    assert planted and set(said) == planted and len(said) == len(set(said))
     texts = [(1, "é😀 set token = \"9f86d081884c7d659a2feaa0c55ad015a3bf4f1b\" and go", "src/a.py"), (2, "commit 9f86d081884c7d659a2feaa0c55ad015a3bf4f1b by me", "CHANGELOG"), (3, None, None), (4, "", "x"), (5, "plain words only", "y")]
     df = spark.createDataFrame([(*t, 1) for t in texts], "doc_id long, text string, source string, start int")
     found = {r.doc_id: r for r in S.candidates(df).collect()}

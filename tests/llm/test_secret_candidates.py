@@ -8,10 +8,10 @@ def test_secrets_without_digits_short_or_with_marks(spark):
 
     from stridelog.llm import secrets as S
 
-    rows = S.example_findings(spark, 120).filter("label = 1").withColumn("doc_id", F.monotonically_increasing_id())
-    docs = rows.select("doc_id", F.concat("left", "candidate", "right").alias("text"), F.col("path").alias("source"), "candidate", "template")
+    rows = S.example_findings(spark).filter("label = 1").withColumn("doc_id", F.monotonically_increasing_id())
+    docs = rows.select("doc_id", F.concat("left", "candidate", "right").alias("text"), F.col("path").alias("source"), "candidate", "kind", "place")
     found = S.candidates(docs).select("doc_id", "candidate")
-    lost = docs.join(found, ["doc_id", "candidate"], "left_anti").groupBy("template").count().collect()
+    lost = docs.join(found, ["doc_id", "candidate"], "left_anti").groupBy("kind", "place").count().collect()
     assert lost == []
     own = {
         1: ("password = 'hunter2!'", "hunter2!"), 2: ('passphrase: "correct horse, battery staple!"', "correct horse, battery staple!"), 3: ('api_token = "QwErTyUiOpAsDfGhJkLz"', "QwErTyUiOpAsDfGhJkLz"),
