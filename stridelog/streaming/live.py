@@ -12,10 +12,10 @@ from stridelog.sources.adapters import loaded, parsed
 
 
 def stream_records(spark: SparkSession, path: str, files_per_trigger: int = 100) -> DataFrame:
-    """Records of JSON-lines files that appear under ``path``."""
+    """Records of JSON-lines files that appear under ``path``; run_key names the file and the record's content, as a stream has no row numbers."""
     raw = spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(path).filter(F.col("value").rlike(r"\S"))
-    h = F.sha2("value", 256)
-    return raw.select(h.alias("run_key"), F.col("_metadata.file_path").alias("file"), F.lit(0).cast("long").alias("block"), F.xxhash64("value").alias("ord"), F.col("value").alias("record"))
+    file = F.col("_metadata.file_path")
+    return raw.select(F.concat_ws("#", file, F.sha2("value", 256)).alias("run_key"), file.alias("file"), F.lit(0).cast("long").alias("block"), F.xxhash64("value").alias("ord"), F.col("value").alias("record"))
 
 
 def stream_steps(spark: SparkSession, path: str, framework: str | None = None, **options) -> DataFrame:
@@ -23,11 +23,14 @@ def stream_steps(spark: SparkSession, path: str, framework: str | None = None, *
 
 
 def each_batch(records: DataFrame, checkpoint: str, sink: Callable[[DataFrame, DataFrame, DataFrame, int], None], framework: str | None = None, **trigger) -> StreamingQuery:
-    """Parses, diagnoses and hands (runs, steps, findings, batch's number) of each micro-batch to ``sink``. A batch that is run again has the same number."""
+    """Parses, diagnoses and hands (runs, steps, findings, batch's number) of each micro-batch to ``sink``. A batch that is run again has the same number.
+
+    A record that a file repeats within a batch is one run: its steps aren't mixed with those of its copies.
+    """
     from stridelog.operators.detectors import detect_all
 
     def batch(df: DataFrame, number: int) -> None:
-        runs, steps = loaded(parsed(df, framework), on_empty="warn")
+        runs, steps = loaded(parsed(df.dropDuplicates(["run_key"]), framework), on_empty="warn")
         sink(runs, steps, detect_all(steps, runs), number)
 
     return records.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
