@@ -46,7 +46,7 @@ class IdBytes(dict):
     That holds for tokenizers that normalize and split as this one does (``by_run``); with any other each text is encoded whole.
     """
 
-    def __init__(self, vocabulary: str, most: int = 600_000):
+    def __init__(self, vocabulary: str, most: int = 400_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -212,5 +212,11 @@ def pack_documents(docs: DataFrame, vocabulary: str | None = None, space: int =
 
     Null texts are empty, an empty table gives an empty result, repeated rows are packed each.
     """
-    pieces = materialize(token_pieces(docs, vocabulary or default_vocabulary(), space), "pieces")
+    conf, key = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(key)
+    conf.set(key, "1000")  # texts are long: ten thousand of them are more than a worker needs at once
+    try:
+        pieces = materialize(token_pieces(docs, vocabulary or default_vocabulary(), space), "pieces")
+    finally:
+        conf.set(key, before)
     return pack(pieces, space, open_bins)
