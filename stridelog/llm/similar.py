@@ -5,8 +5,8 @@ at a similarity of 0.8 two 64-bit prints differ in about 10 bits and often in mo
 prefix filtering, and only pairs of different components are compared there.
 
 Two sets that share at least 0.8 of their union share one of the first n - ceil(0.8 n) + 1 shingles of each, whatever the order of
-shingles is, so long as it is one for all. The order puts shingles that are common in a sample last: the sample decides
-what is cheap, never what is found. Only sets that share such a shingle are compared, on all their shingles.
+shingles is, so long as it is one for all. The order puts shingles of crowded ranges of hashes last; the ranges are of fixed number and counted over all texts.
+Only sets that share such a shingle are compared, on all their shingles.
 
 Sketches of parities bound from below in how many shingles two sets differ. They travel with the shared shingles, so a pair that cannot be similar is given up where it is found, before any set is moved; the others are compared on all shingles.
 
@@ -37,6 +37,8 @@ WORDS = 5
 _SALTS = 16
 #: Longs of a sketch that travels with shingles, and of one that is compared before whole sets are.
 _LONGS, _WIDE = 4, 64
+#: Ranges of hashes that are counted: 2 to this power.
+_RANGE_BITS = 20
 
 
 def shingles(text: str, words: int = WORDS) -> np.ndarray:
@@ -56,29 +58,42 @@ def _key(own: np.ndarray) -> int:
     return int(np.uint64(xxh3_64_intdigest(own.tobytes())).astype(np.int64))
 
 
-def _common(texts: DataFrame, sample: int = 10_000, least: int = 4, most: int = 100_000) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted shingles, their ranks) of the commonest shingles in about ``sample`` texts; all others rank 0."""
+def range_counts(texts: DataFrame, bits: int = _RANGE_BITS) -> np.ndarray:
+    """[r]: how often a shingle of range r of hashes (their first ``bits`` bits) occurs in all ``texts`` (text), once a text that holds it."""
+    width = min(1 << bits, 4096)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << bits, np.int64)
         for batch in by_bytes(batches, 0):
-            own, n = np.unique(np.concatenate([shingles(t.as_py() or "") for t in batch.column(0)]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(n.astype(np.int64))], names=["sh", "n"])
+            own = np.concatenate([shingles(t.as_py() or "") for t in batch.column(0)])
+            at, n = np.unique(_range(own, bits), return_counts=True)
+            counts[at] += n
+        if counts.any():
+            part = counts.reshape(-1, width)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(part))), pa.array([x.tobytes() for x in part], pa.binary())], names=["part", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                sums[k] = sums.get(k, 0) + np.frombuffer(raw.as_buffer(), np.int64)
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["part", "counts"])
+
+    out = np.zeros((1 << bits) // width * width, np.int64).reshape(-1, width)
+    for k, raw in texts.select("text").mapInArrow(count, "part long, counts binary").repartition("part").mapInArrow(add, "part long, counts binary").collect():
+        out[k] = np.frombuffer(raw, np.int64)
+    return out.ravel()
+
 
-    part = max(1, texts.count() // sample)
-    some = texts.filter(F.pmod(F.xxhash64("text"), F.lit(part)) == 0).select("text")
-    top = some.mapInArrow(run, "sh long, n long").groupBy("sh").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).orderBy(F.desc("n"), "sh").limit(most).collect()
-    at = np.array([r.sh for r in top], np.int64).view(np.uint64)
-    order = np.argsort(at)
-    return at[order], np.array([r.n for r in top], np.int64)[order]
+def _range(own: np.ndarray, bits: int) -> np.ndarray:
+    return (own >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def prefix(own: np.ndarray, common: np.ndarray, ranks: np.ndarray) -> np.ndarray:
-    """The shingles one of which any set at 0.8 or more has among its own."""
-    n, rank = len(own), np.zeros(len(own), np.int64)
-    if n and len(common):
-        at = np.minimum(np.searchsorted(common, own), len(common) - 1)
-        rank = np.where(common[at] == own, ranks[at], 0)
-    return own[np.lexsort((own, rank))][: n - -(-4 * n // 5) + 1] if n else own
+def prefix(own: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The shingles one of which any set at 0.8 or more has among its own: those of the rarest ranges."""
+    n = len(own)
+    return own[np.lexsort((own, counts[_range(own, len(counts).bit_length() - 1)]))][: n - -(-4 * n // 5) + 1] if n else own
 
 
 def sketch(own: np.ndarray, longs: int = _LONGS) -> np.ndarray:
@@ -165,14 +180,14 @@ def similar_components(docs: DataFrame, bucket: int = 64) -> DataFrame:
     root: a number of the component; component_id: the smallest doc_id reachable over links at 0.8 or more (null if none has one). Texts without words are one group.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sent = send(docs.sparkSession, _common(rows))
+    sent = send(docs.sparkSession, range_counts(rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, ranks = pickle.loads(sent.value)
+        counts = pickle.loads(sent.value)
         for batch in by_bytes(batches, 2):
             own = [shingles(t.as_py() or "") for t in batch.column(2)]
             prints = np.array([majority(s) for s in own], np.uint64).view(np.int64)
-            first = [prefix(s, common, ranks).view(np.int64) for s in own]
+            first = [prefix(s, counts).view(np.int64) for s in own]
             marks = pa.array([sketch(s) for s in own], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array([_key(s) for s in own], pa.int64()), pa.array([len(s) for s in own], pa.int64()), pa.array(prints), marks, pa.array(first, pa.list_(pa.int64()))],

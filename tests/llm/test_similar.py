@@ -92,3 +92,18 @@ def test_sketches_never_differ_in_more_bits_than_sets_in_shingles():
                 for longs in (4, 64):
                     bits = sum(int(v).bit_count() for v in (sketch(x, longs) ^ sketch(y, longs)).view("uint64"))
                     assert bits <= len(set(x.tolist()) ^ set(y.tolist()))
+
+
+def test_ranges_are_counted_over_all_texts(spark):
+    from stridelog.llm.similar import _range, prefix, range_counts, shingles
+
+    r = random.Random(9)
+    data = [None, "", *(" ".join(r.choices(WORDS, k=r.randint(1, 12))) for _ in range(20_000)), *["one text that is very frequent here"] * 3000]
+    got, want = range_counts(spark.createDataFrame([(t,) for t in data], "text string").repartition(5), 14), [0] * (1 << 14)
+    for t in data:
+        for k in _range(shingles(t or ""), 14):
+            want[k] += 1
+    assert got.tolist() == want
+    frequent, mixed = shingles("one text that is very frequent here"), shingles("one text that is very frequent here as nowhere else in all of them")
+    assert not set(prefix(mixed, got).tolist()) & set(frequent.tolist())
+    assert not range_counts(spark.createDataFrame([], "text string"), 3).any()
