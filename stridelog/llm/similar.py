@@ -19,7 +19,7 @@ then only pairs of different components are left, and those within a hot shingle
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 from itertools import repeat
 
@@ -114,23 +114,54 @@ def _beside(pairs: DataFrame, of: DataFrame) -> DataFrame:
     return salted.join(left, (F.col("u") == F.col("u1")) & (F.col("su") == F.col("s1"))).join(right, (F.col("v") == F.col("v1")) & (F.col("sv") == F.col("s2"))).select("u", "v", "a", "b")
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """u, v: the pairs of keys that reach the similarity on all shingles."""
-    pairs = materialize(pairs.distinct(), "pairs")
+def bloom(keys: DataFrame, most: int = 1 << 26) -> np.ndarray:
+    """Words of a Bloom filter of the longs in column h: 16 bits or more for each, up to ``most`` in all, so what it lets through besides grows only beyond four million keys."""
+    size = min(most, 1 << max(10, (16 * keys.count()).bit_length()))
+    at = keys.select(F.explode(F.array(F.col("h"), F.shiftrightunsigned("h", 32))).alias("x")).select(F.col("x").bitwiseAND(size - 1).alias("at"))
+    words = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, int(at & 63)))").alias("bits")).toArrow()
+    out = np.zeros(size // 64, np.int64)
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    return out.view(np.uint64)
+
+
+def may_hold(words: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Which of the longs ``h`` the filter lets through: all of its keys and few others."""
+    out = np.ones(len(h), bool)
+    for x in (h.view(np.uint64), h.view(np.uint64) >> np.uint64(32)):
+        at = x & np.uint64(64 * len(words) - 1)
+        out &= (words[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+    return out
+
+
+def _made(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, make: Callable[[np.ndarray], np.ndarray], name: str) -> DataFrame:
+    """key, x: what ``make`` gives for the set of every key in ``pairs``. Texts aren't moved: they are read where they lie, and a filter of bounded size tells which are wanted."""
     needed = pairs.select(F.col("u").alias("k")).union(pairs.select("v")).distinct()
-    wanted = nodes.join(needed, F.col("key") == F.col("k"), "left_semi").select(F.col("h").alias("wanted"))
+    sent = send(texts.sparkSession, bloom(materialize(nodes.join(needed, F.col("key") == F.col("k"), "left_semi").select("h"), "wanted")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_bytes(batches, 0):
-            own = [shingles(t.as_py() or "") for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array([_key(s) for s in own], pa.int64()), pa.array([s.view(np.int64) for s in own], pa.list_(pa.int64())), pa.array([len(s) for s in own], pa.int64()), pa.array([sketch(s, _WIDE) for s in own], pa.list_(pa.int64()))], names=["key", "own", "n", "wide"])
-
-    texts = texts.withColumn("h", F.xxhash64("text"))
-    found = texts.join(wanted, F.col("h") == F.col("wanted"), "left_semi").dropDuplicates(["h"]).select("text").mapInArrow(run, "key long, own array<long>, n long, wide array<long>")
-    sets = materialize(found.dropDuplicates(["key"]), "sets")
-    bits = F.aggregate(F.zip_with("a.wide", "b.wide", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
-    likely = materialize(_beside(pairs, sets.select("key", F.struct("n", "wide").alias("x"))).filter(9 * bits <= F.col("a.n") + F.col("b.n")).select("u", "v"), "likely")
-    both = _beside(likely, sets.select("key", F.col("own").alias("x")))
+        words, seen = pickle.loads(sent.value), set()
+
+        def wanted() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                at = np.flatnonzero(may_hold(words, batch.column(0).to_numpy(zero_copy_only=False)))
+                new = [k for k, h in zip(at.tolist(), batch.column(0).take(pa.array(at)).to_pylist(), strict=True) if not (h in seen or seen.add(h))]
+                yield batch.take(pa.array(new, pa.int64()))
+
+        for batch in by_bytes(wanted(), 1):
+            own = [shingles(t.as_py() or "") for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([pa.array([_key(s) for s in own], pa.int64()), pa.array([make(s) for s in own], pa.list_(pa.int64()))], names=["key", "x"])
+
+    found = texts.select(F.xxhash64("text").alias("h"), "text").mapInArrow(run, "key long, x array<long>")
+    return materialize(found.dropDuplicates(["key"]), name)
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """u, v: the pairs of keys that reach the similarity on all shingles. Wide sketches are compared first, whole sets only of pairs that they leave."""
+    pairs = materialize(pairs.distinct(), "pairs")
+    wide = _made(pairs, nodes, texts, lambda own: np.append(sketch(own, _WIDE), len(own)), "wide")
+    bits = F.aggregate(F.zip_with(F.slice("a", 1, _WIDE), F.slice("b", 1, _WIDE), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    likely = materialize(_beside(pairs, wide).filter(9 * bits <= F.col("a")[_WIDE] + F.col("b")[_WIDE]).select("u", "v"), "likely")
+    both = _beside(likely, _made(likely, nodes, texts, lambda own: own.view(np.int64), "sets"))
     return materialize(both.filter(9 * F.size(F.array_intersect("a", "b")) >= 4 * (F.size("a") + F.size("b"))).select("u", "v"), "similar")
 
 
@@ -152,9 +183,11 @@ def similar_edges(nodes: DataFrame, texts: DataFrame, bucket: int = 64) -> DataF
     fits = fits & (9 * differ <= F.col("n") + F.col("n2"))
     ordered = lambda a, b: [F.greatest(a, b).alias("u"), F.least(a, b).alias("v")]
     salts = F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("salt")
-    each = nodes.select("key", "n", "sketch", F.posexplode("prefix").alias("i", "sh"))
+    each = nodes.select("key", F.posexplode("prefix").alias("i", "sh"))
     shared = materialize(each.groupBy("sh").agg(F.count("*").alias("c")).filter("c > 1").select(F.col("sh").alias("s"), (F.col("c") > bucket).alias("hot")), "shared")
-    posts = materialize(each.join(shared, F.col("sh") == F.col("s")).drop("s"), "posts")
+    # most shingles are in one set alone, so a post gets its set's size and sketch only once it is known to be shared
+    marks = nodes.select(F.col("key").alias("k"), "n", "sketch")
+    posts = materialize(each.join(shared, F.col("sh") == F.col("s")).drop("s").join(marks, F.col("key") == F.col("k")).drop("k"), "posts")
     # first links: those of the prints, and of each hot shingle's members to one of them
     leaders = posts.filter("hot").groupBy("sh").agg(F.min(F.struct("i", F.xxhash64("key").alias("x"), "key", "n", "sketch")).alias("m")).select(F.col("sh").alias("s"), F.col("m.key").alias("k2"), F.col("m.n").alias("n2"), F.col("m.i").alias("i2"), F.col("m.sketch").alias("sketch2"), salts)
     stars = posts.filter("hot").join(leaders, (F.col("sh") == F.col("s")) & (_salt("key") == F.col("salt"))).filter((F.col("key") != F.col("k2")) & fits)

@@ -107,3 +107,34 @@ def test_ranges_are_counted_over_all_texts(spark):
     frequent, mixed = shingles("one text that is very frequent here"), shingles("one text that is very frequent here as nowhere else in all of them")
     assert not set(prefix(mixed, got).tolist()) & set(frequent.tolist())
     assert not range_counts(spark.createDataFrame([], "text string"), 3).any()
+
+
+def test_texts_are_compared_where_they_lie(spark):
+    """Less is shuffled than the texts have, though most are compared; the filter loses no key and its size is bounded."""
+    import numpy as np
+    from stridelog.llm.similar import bloom, may_hold, similar_components
+
+    r, data = random.Random(3), []
+    for _ in range(60):
+        base = [f"{r.getrandbits(240):060x}" for _ in range(600)]
+        data += [" ".join(base), " ".join([*base[:300], "changed", *base[301:]]), " ".join(base)]
+    texts = spark.createDataFrame(list(enumerate(data)), "doc_id long, text string")
+    store, none = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+    stages = lambda: {s.stageId(): s.shuffleWriteBytes() for s in (lambda x: [x.apply(k) for k in range(x.size())])(store.stageList(None, False, False, none, spark.sparkContext._jvm.java.util.ArrayList()))}
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        last = max(stages(), default=-1)
+        got = similar_components(texts)
+        written = sum(n for k, n in stages().items() if k > last)
+        assert {x.doc_id: x.component_id for x in got.collect()} == {k: k // 3 * 3 for k in range(len(data))}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert written < sum(map(len, data)), written
+    keys = [r.getrandbits(64) - (1 << 63) for _ in range(5000)]
+    for most in (1 << 26, 1 << 12):
+        words = bloom(spark.createDataFrame([(k,) for k in keys], "h long"), most)
+        assert 64 * len(words) <= most and may_hold(words, np.array(keys)).all()
+    other = np.array([r.getrandbits(64) - (1 << 63) for _ in range(5000)])
+    assert may_hold(bloom(spark.createDataFrame([(k,) for k in keys], "h long")), other).mean() < 0.03
+    assert not may_hold(bloom(spark.createDataFrame([], "h long")), other).any()
