@@ -45,7 +45,7 @@ def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token sequences of at most 4096."""
-    return pack_documents(docs)
+    return pack_documents(docs, batch_rows=300)  # the executors' JVMs keep what earlier stages made them take
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -60,8 +62,30 @@ def text_or_empty(column: str):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """For what runs inside, Arrow batches of at most ``rows`` rows: texts are long, and ten thousand of them are more than a worker needs at once."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def give_back() -> None:
+    """Returns memory that this process holds without use: workers outlive their tasks, and what they keep is missed by the next stage."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # only glibc has it
+        pass
+
+
 def by_bytes(batches: Iterator[pa.RecordBatch], column: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches whose texts in ``column`` have at most ``most`` bytes; a longer text is a batch of its own."""
+    """The same rows in batches whose texts in ``column`` have at most ``most`` bytes; a longer text is a batch of its own. Memory kept from earlier tasks is given back before, that of the texts after."""
+    give_back()
     for batch in batches:
         ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
         at = 0
@@ -70,6 +94,8 @@ def by_bytes(batches: Iterator[pa.RecordBatch], column: int, most: int = 4 << 20
             stop = max(at + 1, int(np.searchsorted(ends, before + most, "right")))
             yield batch.slice(at, stop - at)
             at = stop
+    batch = None
+    give_back()
 
 
 def send(spark: SparkSession, value) -> Broadcast:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, materialize
+from .common import by_bytes, materialize, small_batches
 
 #: White space of the tokenizer's patterns (Unicode White_Space); str.split() also splits at U+001C to U+001F.
 _SPACE = re.compile("[\t-\r \x85\xa0" + "".join(map(chr, [0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])) + "]+")
@@ -207,16 +207,11 @@ def default_vocabulary() -> str:
         return f.read()
 
 
-def pack_documents(docs: DataFrame, vocabulary: str | None = None, space: int = 4096, open_bins: int = 1024) -> DataFrame:
+def pack_documents(docs: DataFrame, vocabulary: str | None = None, space: int = 4096, open_bins: int = 1024, batch_rows: int = 1000) -> DataFrame:
     """Tokenize, cut and pack whole ``docs`` (doc_id, text; other columns are ignored).
 
-    Null texts are empty, an empty table gives an empty result, repeated rows are packed each.
+    Null texts are empty, an empty table gives an empty result, repeated rows are packed each. Fewer ``batch_rows`` take less memory and more time.
     """
-    conf, key = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = conf.get(key)
-    conf.set(key, "1000")  # texts are long: ten thousand of them are more than a worker needs at once
-    try:
+    with small_batches(docs.sparkSession, batch_rows):
         pieces = materialize(token_pieces(docs, vocabulary or default_vocabulary(), space), "pieces")
-    finally:
-        conf.set(key, before)
     return pack(pieces, space, open_bins)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, materialize, send
+from .common import by_bytes, materialize, send, small_batches
 from .components import components
 from .simhash import majority, near_edges
 
@@ -81,7 +81,9 @@ def range_counts(texts: DataFrame, bits: int = _RANGE_BITS) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["part", "counts"])
 
     out = np.zeros((1 << bits) // width * width, np.int64).reshape(-1, width)
-    for k, raw in texts.select("text").mapInArrow(count, "part long, counts binary").repartition("part").mapInArrow(add, "part long, counts binary").collect():
+    with small_batches(texts.sparkSession):
+        sums = texts.select("text").mapInArrow(count, "part long, counts binary").repartition("part").mapInArrow(add, "part long, counts binary").collect()
+    for k, raw in sums:
         out[k] = np.frombuffer(raw, np.int64)
     return out.ravel()
 
@@ -152,7 +154,8 @@ def _made(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, make: Callable[[
             yield pa.RecordBatch.from_arrays([pa.array([_key(s) for s in own], pa.int64()), pa.array([make(s) for s in own], pa.list_(pa.int64()))], names=["key", "x"])
 
     found = texts.select(F.xxhash64("text").alias("h"), "text").mapInArrow(run, "key long, x array<long>")
-    return materialize(found.dropDuplicates(["key"]), name)
+    with small_batches(texts.sparkSession):
+        return materialize(found.dropDuplicates(["key"]), name)
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
@@ -227,7 +230,8 @@ def similar_components(docs: DataFrame, bucket: int = 64) -> DataFrame:
                 names=["doc_id", "h", "fp", "n", "print", "sketch", "prefix"],
             )
 
-    scanned = materialize(rows.select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(run, "doc_id long, h long, fp long, n long, print long, sketch array<long>, prefix array<long>"), "shingled")
+    with small_batches(docs.sparkSession):
+        scanned = materialize(rows.select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(run, "doc_id long, h long, fp long, n long, print long, sketch array<long>, prefix array<long>"), "shingled")
     # equal sets have equal prefixes
     nodes = materialize(scanned.groupBy(F.col("fp").alias("key")).agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.min("h").alias("h"), F.first("print").alias("print"), F.first("sketch").alias("sketch"), F.first("prefix").alias("prefix")), "nodes")
     roots = components(similar_edges(nodes.select("key", "n", "h", "print", "sketch", "prefix"), rows, bucket))
