@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import Broadcast, cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -98,6 +98,34 @@ def by_bytes(batches: Iterator[pa.RecordBatch], column: int, most: int = 4 << 20
     give_back()
 
 
+def bloom(keys: DataFrame, most: int = 1 << 26) -> np.ndarray:
+    """Words of a Bloom filter of the longs in column h: 16 bits or more for each, up to ``most`` in all, so what it lets through besides grows only beyond four million keys."""
+    size = min(most, 1 << max(10, (16 * keys.count()).bit_length()))
+    at = keys.select(F.explode(F.array(F.col("h"), F.shiftrightunsigned("h", 32))).alias("x")).select(F.col("x").bitwiseAND(size - 1).alias("at"))
+    words = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, int(at & 63)))").alias("bits")).toArrow()
+    out = np.zeros(size // 64, np.int64)
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    return out.view(np.uint64)
+
+
+def may_hold(words: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Which of the longs ``h`` the filter lets through: all of its keys and few others."""
+    out = np.ones(len(h), bool)
+    for x in (h.view(np.uint64), h.view(np.uint64) >> np.uint64(32)):
+        at = x & np.uint64(64 * len(words) - 1)
+        out &= (words[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+    return out
+
+
+def may_hold_native(words: Column, h: Column, size: int) -> Column:
+    """The same for a column ``h`` of longs and the filter's ``size`` words as a column of arrays, without Python."""
+    tests = []
+    for x in (h, F.shiftrightunsigned(h, 32)):
+        at = x.bitwiseAND(64 * size - 1)
+        tests.append(F.getbit(F.get(words, F.shiftright(at, 6).cast("int")), at.bitwiseAND(63).cast("int")) == 1)
+    return tests[0] & tests[1]
+
+
 def send(spark: SparkSession, value) -> Broadcast:
     """Broadcast of ``value``, pickled with its classes' code, for ``pickle.loads`` on an executor that lacks this package."""
     return spark.sparkContext.broadcast(cloudpickle.dumps(value))

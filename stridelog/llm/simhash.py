@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, send, unused
+from .common import bloom, materialize, may_hold_native, send, unused
 from .components import components
 
 _CHUNK = 1 << 16
@@ -265,14 +265,19 @@ def keep_one(docs: DataFrame, groups: Callable[[DataFrame], DataFrame] = near_co
     rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("h").alias("h"))
     best = found.groupBy(F.col("root").alias("r")).agg(F.min(rank).alias("best"), F.count("*").alias("n")).filter("n > 1")
     crowd = materialize(found.join(best, F.col("root") == F.col("r")).select("doc_id", "h", (rank == F.col("best")).alias("stays")), "crowd")
-    d, h, k = unused(docs, "_d", "_h", "_k")
+    d, h, k, w = unused(docs, "_d", "_h", "_k", "_w")
     key = lambda df: df.select(F.col("doc_id").alias(d), F.col("h").alias(h))
     marked = docs.withColumn(k, F.xxhash64(F.col("text").cast("string")))
     same = lambda df: df[k].eqNullSafe(F.col(h)) & df["doc_id"].cast("long").eqNullSafe(F.col(d))
     losers = materialize(key(crowd.filter("NOT stays").distinct()), "losers")
-    kept = marked.join(losers, same(marked), "left_anti")
     repeated = materialize(key(crowd.filter("stays").groupBy("doc_id", "h").agg(F.count("*").alias("n")).filter("n > 1")), "repeated")
-    if repeated.isEmpty():
-        return kept.drop(k)
-    once = kept.join(repeated, same(kept), "left_semi").dropDuplicates(["doc_id", k])
-    return kept.join(repeated, same(kept), "left_anti").unionByName(once).drop(k)
+    # most rows just stay, so their texts aren't moved: a filter of bounded size tells which may not, and the joins decide on those
+    words = bloom(losers.union(repeated).select(F.xxhash64(d, h).alias("h")))
+    sent = F.broadcast(docs.sparkSession.createDataFrame(pa.table({w: pa.array([words.view(np.int64)], pa.list_(pa.int64()))})))
+    touched = may_hold_native(F.col(w), F.xxhash64(F.col("doc_id").cast("long"), F.col(k)), len(words))
+    clear, rest = (marked.join(sent, touched, how) for how in ("left_anti", "left_semi"))
+    kept = rest.join(losers, same(rest), "left_anti")
+    if not repeated.isEmpty():
+        once = kept.join(repeated, same(kept), "left_semi").dropDuplicates(["doc_id", k])
+        kept = kept.join(repeated, same(kept), "left_anti").union(once)
+    return clear.union(kept).drop(k)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, materialize, send, small_batches
+from .common import bloom, by_bytes, materialize, may_hold, send, small_batches
 from .components import components
 from .simhash import majority, near_edges
 
@@ -116,25 +116,6 @@ def _beside(pairs: DataFrame, of: DataFrame) -> DataFrame:
     return salted.join(left, (F.col("u") == F.col("u1")) & (F.col("su") == F.col("s1"))).join(right, (F.col("v") == F.col("v1")) & (F.col("sv") == F.col("s2"))).select("u", "v", "a", "b")
 
 
-def bloom(keys: DataFrame, most: int = 1 << 26) -> np.ndarray:
-    """Words of a Bloom filter of the longs in column h: 16 bits or more for each, up to ``most`` in all, so what it lets through besides grows only beyond four million keys."""
-    size = min(most, 1 << max(10, (16 * keys.count()).bit_length()))
-    at = keys.select(F.explode(F.array(F.col("h"), F.shiftrightunsigned("h", 32))).alias("x")).select(F.col("x").bitwiseAND(size - 1).alias("at"))
-    words = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, int(at & 63)))").alias("bits")).toArrow()
-    out = np.zeros(size // 64, np.int64)
-    out[words.column("word").to_numpy()] = words.column("bits").to_numpy()
-    return out.view(np.uint64)
-
-
-def may_hold(words: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """Which of the longs ``h`` the filter lets through: all of its keys and few others."""
-    out = np.ones(len(h), bool)
-    for x in (h.view(np.uint64), h.view(np.uint64) >> np.uint64(32)):
-        at = x & np.uint64(64 * len(words) - 1)
-        out &= (words[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
-    return out
-
-
 def _made(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, make: Callable[[np.ndarray], np.ndarray], name: str) -> DataFrame:
     """key, x: what ``make`` gives for the set of every key in ``pairs``. Texts aren't moved: they are read where they lie, and a filter of bounded size tells which are wanted."""
     needed = pairs.select(F.col("u").alias("k")).union(pairs.select("v")).distinct()

@@ -138,3 +138,32 @@ def test_texts_are_compared_where_they_lie(spark):
     other = np.array([r.getrandbits(64) - (1 << 63) for _ in range(5000)])
     assert may_hold(bloom(spark.createDataFrame([(k,) for k in keys], "h long")), other).mean() < 0.03
     assert not may_hold(bloom(spark.createDataFrame([], "h long")), other).any()
+
+
+@pytest.mark.parametrize("bits", [1 << 26, 64])
+def test_texts_that_stay_are_not_moved(spark, monkeypatch, bits):
+    """Rows that no copy touches keep their texts where they lie; a filter that lets everything through gives the same rows."""
+    from stridelog.llm import simhash
+
+    r, none = random.Random(8), [(None, None), (None, ""), (7, None)]
+    alone = [(k, f"{r.getrandbits(8000):02000x}") for k in range(1000, 1600)]
+    again = [(k, f"{r.getrandbits(8000):02000x}") for k in range(20)]
+    data = [*alone, *again, *((k + 100, t) for k, t in again), *again[:3], (None, again[0][1]), (1000, again[5][1]), *none]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(4)
+    plain = simhash.bloom
+    monkeypatch.setattr(simhash, "bloom", lambda keys: plain(keys, bits))
+    store, sizes = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+    stages = lambda: {s.stageId(): s.shuffleWriteBytes() for s in (lambda x: [x.apply(k) for k in range(x.size())])(store.stageList(None, False, False, sizes, spark.sparkContext._jvm.java.util.ArrayList()))}
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        docs = simhash.materialize(df, "docs")
+        kept = simhash.keep_one(docs, lambda x: x.select("doc_id", simhash.F.xxhash64("text").alias("h"), simhash.F.xxhash64(simhash.F.coalesce("text", simhash.F.lit(""))).alias("root")))
+        last = max(stages(), default=-1)
+        got = kept.collect()
+        written = sum(n for k, n in stages().items() if k > last)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    want = [*alone, *again, (7, None)]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+    assert bits == 64 or written < sum(len(t) for _, t in alone) / 4, written
