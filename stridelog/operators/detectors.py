@@ -62,15 +62,18 @@ def register(name: str, tier: str = "experimental"):
     return add
 
 
-def run_facts(steps: DataFrame, runs: DataFrame) -> DataFrame:
-    """One row a run: ``runs`` with what its steps say. Runs without steps keep nulls; steps without a run are dropped."""
-    f = edit_sessions(with_flags(steps)).withColumn("last_submit", F.max(F.when(F.col("kind") == "submit", F.col("idx"))).over(by_run()))
+def run_facts(steps: DataFrame, runs: DataFrame, more: dict[str, Column] | None = None, figures: dict[str, Column] | None = None) -> DataFrame:
+    """One row a run: ``runs`` with what its steps say. Runs without steps keep nulls; steps without a run are dropped.
+
+    ``figures``: further aggregates of a run's steps, over ``more`` columns of them, so that whoever needs both reads the steps once.
+    """
+    f = edit_sessions(with_flags(steps, more)).withColumn("last_submit", F.max(F.when(F.col("kind") == "submit", F.col("idx"))).over(by_run()))
     edit, i = F.col("kind") == "edit", F.col("idx")
     ordered = lambda keep, what=i: F.array_sort(F.collect_list(F.when(keep, what)))
     checked = F.col("verifies") & (i < F.col("last_submit"))
     streak = (edit & (F.col("rejected") | F.startswith(F.coalesce("error_fp", F.lit("")), F.lit("edit_rejected")))) & (F.size("files") > 0)
     source = F.filter("paths", lambda p: ~F.array_contains(F.col("created_files"), p) & ~P.is_test_or_scratch(p) & ~P.is_doc_or_config(p))
-    f = f.withColumn("_streak", streak).withColumn("_source", source)
+    f = f.withColumn("_streak", streak).withColumn("_source", F.when(F.col("landed"), source))
     facts = f.groupBy(F.col("run_key").alias("_r")).agg(
         F.count("*").cast("int").alias("n_steps"),
         F.first("last_submit").alias("submitted_at"),
@@ -87,6 +90,7 @@ def run_facts(steps: DataFrame, runs: DataFrame) -> DataFrame:
         ordered(F.col("landed"), F.struct(i.alias("idx"), F.col("paths").alias("paths"))).alias("landings"),
         ordered(F.col("landed") & (F.size("_source") > 0), F.struct(i.alias("idx"), F.col("_source").alias("paths"))).alias("source_landed"),
         F.max(F.when(F.col("reverts"), i)).alias("last_revert"),
+        *(c.alias(name) for name, c in (figures or {}).items()),
     )
     return runs.join(facts, F.col("run_key") == F.col("_r"), "left").drop("_r").withColumn("n_steps", F.coalesce("n_steps", F.lit(0))).withColumn("patched", settled(patch_files(F.col("model_patch"))))
 
@@ -217,8 +221,8 @@ def termination_anomaly() -> list[Rule]:
 ORDER = ("verification_gap", "submit_despite_failure", "edit_error", "localization_failure", "lost_edit", "termination_anomaly")
 
 
-def detect_on(facts: DataFrame, only: Sequence[str] | None = None, tier: str | None = None, **options) -> DataFrame:
-    """Findings of the chosen detectors over run facts. Others are left out before a plan is made.
+def findings_of(only: Sequence[str] | None = None, tier: str | None = None, **options) -> Column:
+    """The findings of the chosen detectors as an array over run facts. Others are left out before a plan is made.
 
     A detector that doesn't take all of ``options`` runs with its defaults; an option that no registered detector takes is an error.
     """
@@ -250,8 +254,13 @@ def detect_on(facts: DataFrame, only: Sequence[str] | None = None, tier: str | N
                 one.append(F.when(F.coalesce(r.fires, F.lit(False)), made(r, d, order, emit)))
     # all findings of a run are one array, so the facts are read once
     lists = [*([F.array_compact(F.array(*one))] if one else []), *many]
+    return settled(F.concat(*lists) if len(lists) > 1 else lists[0])
+
+
+def detect_on(facts: DataFrame, only: Sequence[str] | None = None, tier: str | None = None, **options) -> DataFrame:
+    """Findings of the chosen detectors over run facts, one a row."""
     keys = ["run_key", "instance_id", "framework", "resolved"]
-    return facts.select(*keys, F.explode_outer(settled(F.concat(*lists) if len(lists) > 1 else lists[0])).alias("f")).filter("f IS NOT NULL").select(*keys, "f.*")
+    return facts.select(*keys, F.explode_outer(findings_of(only, tier, **options)).alias("f")).filter("f IS NOT NULL").select(*keys, "f.*")
 
 
 def detect_all(steps: DataFrame, runs: DataFrame, only: Sequence[str] | None = None, tier: str | None = None, **options) -> DataFrame:

@@ -26,24 +26,24 @@ def touched(files: str = "files_touched", path: str = "path") -> Column:
     return F.coalesce(F.when(F.size(files) > 0, F.col(files)), own, F.array().cast("array<string>"))
 
 
-def with_flags(steps: DataFrame) -> DataFrame:
-    """The narrow frame that all rules read: texts are judged here once and then left behind."""
+def with_flags(steps: DataFrame, more: dict[str, Column] | None = None) -> DataFrame:
+    """The narrow frame that all rules read: texts are judged here once and then left behind. ``more``: further columns over ``steps`` that it is to have."""
     kept = ["run_key", "idx", "kind", "verb", "is_test_run", "error_kind", "error_fp", "exit_code"]
     obs = F.regexp_replace(F.coalesce("observation", F.lit("")), r"\A\s+", "")
     edit = F.col("kind") == "edit"
     narrow = steps.select(
         *kept,
         touched().alias("files"),
-        (edit & P.edit_was_rejected("observation")).alias("rejected"),
-        (edit & ~P.edit_was_rejected("observation") & ((F.coalesce("verb", F.lit("")) == "create") | F.startswith(obs, F.lit("File created successfully")))).alias("creates"),
+        settled(edit & P.edit_was_rejected("observation")).alias("rejected"),
+        (edit & ((F.coalesce("verb", F.lit("")) == "create") | F.startswith(obs, F.lit("File created successfully")))).alias("creates"),
         edit_region("old_str").alias("region"),
         F.when(F.col("kind") == "shell", F.transform(P.invoked_scripts("command"), repo_relative)).alias("invoked"),
         ((F.col("kind") == "shell") & P.is_revert_command("command")).alias("reverts"),
+        *(c.alias(name) for name, c in (more or {}).items()),
     )
-    narrow = narrow.withColumn("paths", settled(F.filter(F.transform("files", repo_relative), lambda p: p != ""))).withColumn("landed", (F.col("kind") == "edit") & ~F.col("rejected"))
-    of_run = lambda keep: F.array_distinct(F.flatten(F.collect_list(F.when(keep, F.col("paths"))).over(by_run())))
-    out = narrow.withColumn("created_files", of_run(F.col("creates")))
-    out = out.withColumn("created_scripts", F.filter("created_files", P.is_script))
+    narrow = narrow.withColumn("creates", F.col("creates") & ~F.col("rejected")).withColumn("paths", settled(F.filter(F.transform("files", repo_relative), lambda p: p != ""))).withColumn("landed", (F.col("kind") == "edit") & ~F.col("rejected"))
+    of_run = lambda what: F.array_distinct(F.flatten(F.collect_list(F.when(F.col("creates"), what)).over(by_run())))
+    out = narrow.withColumns({"created_files": of_run(F.col("paths")), "created_scripts": of_run(F.filter("paths", P.is_script))})
     out = out.withColumn("verifies", F.coalesce("is_test_run", F.lit(False)) | F.coalesce(F.arrays_overlap("invoked", "created_scripts"), F.lit(False)))
     aside = F.forall("files", lambda f: P.is_test_or_scratch(f) | P.is_doc_or_config(f) | F.array_contains(F.col("created_scripts"), repo_relative(f)))
     return out.withColumn("edit_event", F.col("landed") & ~((F.size("files") > 0) & aside))

@@ -60,15 +60,17 @@ def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Steps of the normalized schema, one run a user, in order of time."""
     from pyspark.sql import Window
 
-    w, uid, eid, k = Window.partitionBy("user_id").orderBy("ts", "event_id"), F.col("user_id"), F.col("event_id"), F.col("k")
-    e = table(spark, sf_dir, "events").select("user_id", "event_id", "ts", "event_type", F.regexp_extract("props", r"(\d+)", 1).cast("int").alias("k"))
+    w, uid, eid, k = Window.partitionBy("run_key").orderBy("ts", "event_id"), F.col("user_id"), F.col("event_id"), F.col("k")
+    e = table(spark, sf_dir, "events").select(uid.cast("string").alias("run_key"), "user_id", "event_id", "ts", "event_type", F.regexp_extract("props", r"(\d+)", 1).cast("int").alias("k"))
+    # the only exchange of steps; a given number, as what is made of these few bytes decides the work of a task
+    e = e.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "run_key")
     e = e.withColumn("idx", F.row_number().over(w) - 1).withColumn("last", F.lead("event_id").over(w).isNull())
     kind = F.when(F.col("last") & (uid % 4 != 0), "submit").when(F.col("event_type") == "view", "read").when(F.col("event_type") == "purchase", "edit").when(F.col("event_type") == "signup", "search").otherwise("shell")
     e = e.withColumn("kind", kind)
     edit, kind = F.col("kind") == "edit", F.col("kind")
     path = F.when(edit, F.when(eid % 7 == 0, "probe.py").when(eid % 11 == 0, "README.md").when(k % 2 == 0, "src/core.py").otherwise("src/util.py")).when(kind == "read", F.concat(F.lit("src/m"), (k % 9).cast("string"), F.lit(".py")))
     s = e.select(
-        uid.cast("string").alias("run_key"), "idx", "kind", F.lit(None).cast("string").alias("thought"), "kind", F.lit(None).cast("string").alias("raw_action"), path.alias("path"), F.when(edit, F.when(eid % 7 == 0, "create").otherwise("str_replace")).when(kind == "read", "view").alias("verb"),
+        "run_key", "idx", "kind", F.lit(None).cast("string").alias("thought"), "kind", F.lit(None).cast("string").alias("raw_action"), path.alias("path"), F.when(edit, F.when(eid % 7 == 0, "create").otherwise("str_replace")).when(kind == "read", "view").alias("verb"),
         F.when(kind == "shell", _pick(COMMANDS, k % 8)).alias("command"), F.when(kind == "search", F.concat(F.lit("find "), k.cast("string"))).alias("pattern"), F.when(edit, F.concat(F.lit("f"), (k % 3).cast("string"))).alias("old_str"),
         F.when(edit, F.when(eid % 4 != 0, REFUSED).otherwise("File updated.")).when(kind == "shell", _pick(RESULTS, k % 5)).when(kind == "submit", "").otherwise(F.concat(F.lit("content "), k.cast("string"))).alias("observation"), "event_id",
     )
@@ -143,8 +145,7 @@ def found(spark: SparkSession, sf_dir: str, only=None) -> DataFrame:
 
 def reports(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     s, r = steps(spark, sf_dir), runs(spark, sf_dir)
-    f = D.detect_all(s, r)
-    return M.waste_reports(r, s, f), r, s, f
+    return M.detected_reports(r, s), r, s, D.detect_all(s, r)
 
 
 # ---------------------------------------------------------------- rules
