@@ -52,8 +52,9 @@ def write_json(rows: DataFrame, file: str) -> int:
 
 def csv_rows(reports: DataFrame) -> DataFrame:
     """The fixed columns, then one for each category that occurs, sorted; absent counts are blank."""
+    reports = reports.select(*CSV, "by_category").persist()  # read for the names and the rows
     names = sorted(r.c for r in reports.select(F.explode(F.map_keys("by_category")).alias("c")).distinct().collect())  # at most one a rule
-    rounded = reports.withColumns({c: F.round(c, 4) for c in _RATIOS})
+    rounded = reports.withColumns({c: F.round(c, 4) for c in _RATIOS if c in CSV})
     return rounded.select(*CSV, *(F.try_element_at("by_category", F.lit(c)).alias(c) for c in names))
 
 

@@ -5,6 +5,7 @@ from test_detectors import CASES, frames
 
 from stridelog.operators import detectors, metrics
 from stridelog.plans import driver
+from stridelog.sources import sinks
 
 SF = "/root/testdata/sf0.001"
 
@@ -36,6 +37,13 @@ def test_steps_are_read_once(spark, name):
     assert scans(one) == 2 * each  # the steps, and whose they are
 
 
+def test_export_reads_reports_once(spark):
+    steps, runs = frames(spark, {k: CASES[k] for k in ("streak", "empty", "lost")})
+    rows = sinks.csv_rows(metrics.detected_reports(runs, steps))
+    assert "InMemoryRelation" in plan(rows) and rows.columns == [*sinks.CSV, "edit_error", "lost_edit", "termination_anomaly"]
+    assert {r.instance_id: (r.edit_error, r.lost_edit, r.termination_anomaly) for r in rows.collect()} == {"streak": (2, None, None), "empty": (None, None, 3), "lost": (None, 1, None)}
+
+
 def test_steps_are_exchanged_once(spark):
     text = driver.QUERIES["edit_sessions"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert text.count("Exchange hashpartitioning") == 1  # before their texts are judged, in a given number of parts
