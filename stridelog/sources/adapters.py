@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stridelog.functions import predicates as P
-from stridelog.functions.errors import exit_code, with_errors
+from stridelog.functions.errors import with_errors
 from stridelog.functions.text import clean_output, repo_relative, settled, strip
 from stridelog.schema import ERROR_BEARING
 
@@ -351,8 +351,7 @@ def derived(steps: DataFrame) -> DataFrame:
     """``steps`` with exit_code, error_kind, error_fp (of kinds that carry errors) and is_test_run."""
     bears = F.col("kind").isin(list(ERROR_BEARING))
     out = steps.withColumn("_obs", F.when(bears, F.col("observation")))
-    out = out.withColumn("exit_code", F.when(F.col("_obs").isNotNull(), exit_code("_obs")))
-    return with_errors(out, "_obs", F.col("exit_code")).drop("_obs").withColumn("is_test_run", (F.col("kind") == "shell") & P.is_test_command("command"))
+    return with_errors(out, "_obs", own_code="exit_code").drop("_obs").withColumn("is_test_run", (F.col("kind") == "shell") & P.is_test_command("command"))
 
 
 def _resolved(raw: Column) -> Column:
