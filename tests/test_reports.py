@@ -30,7 +30,7 @@ def test_same_reports(both):
     assert len(a) == len(CASES) and a == b
 
 
-@pytest.mark.parametrize("name", ["top_quantile_failures", "auc"])
+@pytest.mark.parametrize("name", ["top_quantile_failures", "auc", "category_stats"])
 def test_steps_are_read_once(spark, name):
     one = driver.QUERIES[name](spark, SF)
     each = plan(one).count("InMemoryRelation") or 1
